@@ -11,7 +11,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,17 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: i
     return rows.join(F.broadcast(hot), key, "inner").unionByName(cold_rows.join(rest, key, how), allowMissingColumns=True)
 
 
+#: Up to so many ids are broadcast to leave rows out (8 bytes each); more are joined by a shuffle.
+MAX_IDS = 1 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of *docs* whose id is not in *ids* (one column, materialised); rows with a null id stay."""
+    ids = ids.toDF("_out")
+    side = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
+    return docs.join(side, F.col(id_col) == F.col("_out"), "left_anti")
+
+
 def sha_text(col: Column) -> Column:
     """Lowercase hex SHA-256 of a text's UTF-8 bytes; null counts as empty."""
     return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
@@ -127,3 +141,53 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of equal *keys* in sorted batches, one frame each; a group may span batches."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[keys]
+        edge = np.flatnonzero((k.values[1:] != k.values[:-1]).any(axis=1)) + 1
+        ends = [*edge.tolist(), len(pdf)]
+        start = 0
+        for end in ends:
+            now = tuple(k.iloc[start].tolist())
+            if held and now != last:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[start:end])
+            last, start = now, end
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+def in_blocks(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
+    """Add _i, _j, _side: a group of at most *block* rows is one block; a larger one is cut into parts of about
+    that many, and each pair of parts is a block that holds both, so that no task holds a large group."""
+    parts = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    rows = rows.withColumn("_s", F.when(F.col(size) <= block, 1).otherwise(parts))
+    rows = rows.withColumn("_side", F.pmod(F.xxhash64(group, member), F.col("_s")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    return rows.withColumn("_i", F.least("_side", "_o")).withColumn("_j", F.greatest("_side", "_o")).drop("_o", "_s")
+
+
+def forest(n: int, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with boolean adjacency *linked* (n by n, symmetric)."""
+    left = np.ones(n, dtype=bool)
+    out = []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(linked[at] & left)
+            left[new] = False
+            out += [(at, x) for x in new.tolist()]
+            queue += new.tolist()
+    return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaerix.llm.common import join_keyed, materialize, sha_text
+from quaerix.llm.common import join_keyed, materialize, sha_text, without
 
 #: Filter bits per row, a power of two at least this many times the rows.
 BITS_PER_ROW = 16
@@ -72,6 +72,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max
     return seen if alone is None else alone.unionByName(seen)
 
 
+def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of *docs* that stay, with all their columns; only hashes are shuffled, never texts."""
+    losers = exact_dedup(docs, text, id_col).filter(~F.col("kept")).select("doc_id")
+    return without(docs, materialize(losers, "losers"), id_col)
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

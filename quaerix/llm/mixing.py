@@ -110,3 +110,10 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
     done = joined.withColumn("_b", spread).groupBy("_key", "_b").applyInPandas(lambda pdf: _copies(pdf, cap), schema)
     return done.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of *docs* with all their columns, each as often as its copies."""
+    copies = mix(docs, text, id_col, source, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_n"))
+    held = docs.join(copies, F.col(id_col) == F.col("_id")).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return held.select(docs.columns)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaerix.llm import exact_dedup, mixing, packing, secrets
+from quaerix.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, quality, quotes, secrets, warc
 from quaerix.llm.common import table
 from quaerix.session import ship
 
@@ -16,10 +17,38 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pair = F.transform(F.array_sort(F.map_entries("merged_headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.withColumn("merged_headers", F.when(F.col("merged_headers").isNotNull(), F.concat_ws(";", pair)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +67,7 @@ def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op6_harmonic_packing, op8_exact_dedup, op9_entropy_mix, op10_secret_scan)
+    f.__name__: _shipped(f) for f in (op1_string_kernel_langid, op2_subword_quality, op3_setsketch_dedup, op4_itq_dedup, op5_quote_links, op6_harmonic_packing, op7_warc_revisits, op8_exact_dedup, op9_entropy_mix, op10_secret_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_quote_links": quotes.ORACLE, "op7_warc_revisits": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
