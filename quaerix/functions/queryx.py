@@ -23,7 +23,7 @@ def intent(c: Column) -> Column:
     low = F.lower(squash(c))
     out = F.when(low == "", "general").when(is_overview(c), "overview")
     for name, terms in vocab.INTENTS:
-        out = out.when(has_term(low, terms.split("|")), name)
+        out = out.when(has_term(low, terms), name)
     return out.when(is_documentation(low), "docs").otherwise("general")
 
 
@@ -46,13 +46,12 @@ def expand(c: Column, rules=()) -> Column:
     empty = F.array().cast("array<string>")
     groups = []
     for triggers, every, hints in vocab.EXPANSIONS:
-        names = triggers.split("|")
-        hit = has_any(low, names)
+        hit = has_any(low, triggers)
         if every:
             hit = F.lit(True)
-            for t in names:
+            for t in triggers:
                 hit = hit & low.contains(t)
-        groups.append(F.when(hit, F.array(*[F.lit(h) for h in hints.split("|")])).otherwise(empty))
+        groups.append(F.when(hit, F.array(*[F.lit(h) for h in hints])).otherwise(empty))
     compound = F.transform(code_terms(text), lambda t: F.filter(F.split(t, r"[._/-]+"), lambda p: F.length(p) > 2))
     joined = F.transform(F.filter(compound, lambda p: F.size(p) > 1), lambda p: F.array_join(p, " "))
     hints = F.concat(*groups, domain_hints(text, rules), joined)

@@ -2,55 +2,112 @@
 
 from __future__ import annotations
 
-OVERVIEW = tuple(
-    f"{a} {b}" for a in ("project", "repository", "repo") for b in ("overview", "summary")
-) + tuple(f"what {v} {d} {n} {t}" for d, n in (("this", "project"), ("the", "repository"), ("this", "repo"), ("the", "repo")) for v, t in (("does", "do"), ("is", "about"))) + tuple(f"summarize {d} repo" for d in ("this", "the"))
+# All names in this file, but for EXAMPLE_RULES, are lists that results depend on word by word.
 
-DOCS = tuple("what is the repository about|what does this repo do|what does the repo do|what is the repo about|what is this repo|repository summary|project summary|repo summary|documentation|installation|architecture|overview|features|feature|install|readme|setup|usage|docs".split("|"))
+#: Phrases that ask for an overview.
+OVERVIEW = (
+    "what is the repo about",
+    "what is this repo about",
+    "what does the repo do",
+    "what does this repo do",
+    "what is the repository about",
+    "what does the repository do",
+    "what is this project about",
+    "what does this project do",
+    "repo summary",
+    "repository summary",
+    "project summary",
+    "summarize the repo",
+    "summarize this repo",
+    "repo overview",
+    "repository overview",
+    "project overview",
+)
+
+#: Parts of a question on documentation.
+DOCS = (
+    "readme", "docs", "documentation", "setup", "install", "installation", "usage", "overview",
+    "what is this repo", "what is the repository about", "what is the repo about", "what does the repo do", "what does this repo do",
+    "repo summary", "repository summary", "project summary", "feature", "features", "architecture",
+)
 
 #: In order of precedence, after the overview phrases and before the documentation ones.
 INTENTS = (
-    ("tests", "tests|test|spec|pytest"),
-    ("error_handling", "raises|invalid|guard against|error|conflict"),
-    ("api", "trpc|router|route|public api|openapi|frontend|endpoint|backend|api v2|api v1|api"),
-    ("setup", "workspace|table|setup|self-host|self hosting|orchestration|metadata|local development|install|environment|env|database|create|configured|configure|configuration|build"),
-    ("cross_file", "flow|connect|code path|across files|across"),
-    ("implementation", "where would|where should|where is|where does|what is special|webhooks|webhook|signing|represented|method|lives|lifecycle|jobs|job|implemented|implementation|function|class|behavior"),
-)
-DEEP = ("tests", "setup", "implementation", "error_handling", "cross_file", "api")
-CODE_FIRST = ("setup", "implementation", "error_handling", "cross_file", "api")
-DOC_PENALTY = ("tests", "implementation", "error_handling", "cross_file", "api")
+    ("tests", ("test", "tests", "pytest", "spec")),
+    ("error_handling", ("error", "invalid", "conflict", "raises", "guard against")),
+    ("api", ("api", "api v1", "api v2", "endpoint", "frontend", "backend", "openapi", "public api", "route", "router", "trpc")),
+    ("setup", (
+        "build", "configure", "configured", "configuration", "create", "database", "env", "environment", "install", "local development",
+        "metadata", "orchestration", "self-host", "self hosting", "setup", "table", "workspace",
+    )),
+    ("cross_file", ("flow", "across", "across files", "connect", "code path")),
+    ("implementation", (
+        "behavior", "class", "function", "implementation", "implemented", "job", "jobs", "lifecycle", "lives", "method", "represented",
+        "signing", "webhook", "webhooks", "what is special", "where does", "where is", "where should", "where would",
+    )),
+)
+#: Intents that are searched deeply, that put code first, and under which documents lose points.
+DEEP = ("api", "implementation", "cross_file", "error_handling", "setup", "tests")
+CODE_FIRST = ("api", "implementation", "cross_file", "error_handling", "setup")
+DOC_PENALTY = ("api", "implementation", "cross_file", "error_handling", "tests")
 
 #: (triggers, all of them needed?, hints): substrings of the question and what they add.
 EXPANSIONS = (
-    ("import|expose|export", False, "package exports|__init__.py|index|public api|re-export"),
-    ("exported|exposed|public api", False, "public api|__init__.py|index"),
-    ("session|exec", True, "session exec|session.py|execute|scalars"),
-    ("async", False, "async|await|asyncio"),
-    ("method|function|field|class|relationship", False, "class|function|method|metadata"),
-    ("conversion|code path|implementation|under the hood", False, "implementation|source|call path|class|function"),
-    ("guard|raise|conflict|invalid|error", False, "raise|raises|exception|validation|guard"),
-    ("spec|pytest|test", False, "test|tests|pytest|spec"),
-    ("table|metadata|configuration|install|setup|create", False, "create|setup|configure|initialize|schema|README.md|docs"),
-    ("exports|__init__", False, "__init__.py|package exports|public api"),
+    (("export", "expose", "import"), False, ("package exports", "__init__.py", "index", "public api", "re-export")),
+    (("public api", "exposed", "exported"), False, ("public api", "__init__.py", "index")),
+    (("session", "exec"), True, ("session exec", "session.py", "execute", "scalars")),
+    (("async",), False, ("async", "await", "asyncio")),
+    (("relationship", "field", "function", "method", "class"), False, ("class", "function", "method", "metadata")),
+    (("under the hood", "implementation", "code path", "conversion"), False, ("implementation", "source", "call path", "class", "function")),
+    (("error", "invalid", "conflict", "raise", "raises", "guard"), False, ("raise", "raises", "exception", "validation", "guard")),
+    (("test", "tests", "pytest", "spec"), False, ("test", "tests", "pytest", "spec")),
+    (("create", "setup", "install", "configuration", "metadata", "table"), False, ("create", "setup", "configure", "initialize", "schema", "README.md", "docs")),
+    (("__init__", "exports"), False, ("__init__.py", "package exports", "public api")),
 )
 OVERVIEW_SUFFIX = "repository overview purpose main workflow architecture README features stack"
-WANTS_CODE = ("snippet", "import", "implementation", "function", "code", "class")
-FOLLOW_UP_STARTS = ("which", "where", "what", "show", "how", "give")
-FOLLOW_UP_WORDS = ("snippet", "implementation", "code")
-GREETINGS = ("ask a question", "hey, what question do you have for me today?")
+WANTS_CODE = ("code", "snippet", "implementation", "function", "class", "import")
+FOLLOW_UP_STARTS = ("give", "show", "where", "which", "how", "what")
+FOLLOW_UP_WORDS = ("code", "snippet", "implementation")
+GREETINGS = ("hey, what question do you have for me today?", "ask a question")
 
-CODE_STOP = tuple("with which where when what using under through this the that project path models model me main into how happens happen from for file does code between are and also against about".split())
-EVAL_STOP = tuple("with which where when what to this their the that or on of its it is into in how from for by be at as are and an a".split())
+CODE_STOP = (
+    "about", "against", "also", "and", "are", "between", "code", "does", "file", "for", "from", "happen", "happens", "how", "into", "main",
+    "me", "model", "models", "path", "project", "that", "the", "this", "through", "under", "using", "what", "when", "where", "which", "with",
+)
+EVAL_STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "its", "of", "on", "or", "that",
+    "the", "their", "this", "to", "what", "when", "where", "which", "with",
+)
 
-SETUP_FILES = ("requirements.txt", "readme.md", "pyproject.toml", "package.json", "dockerfile", "docker-compose.yml", "compose.yml")
+#: Parts of paths and sources that count for an intent.
+API_STEMS = ("index", "public", "api")
+API_PATHS = ("api", "route", "router", "controller")
+ERROR_WORDS = ("raise", "except", "error", "invalid", "exception")
+SETUP_FILES = ("readme.md", "package.json", "pyproject.toml", "requirements.txt", "dockerfile", "docker-compose.yml", "compose.yml")
+SETUP_PATHS = ("config", "settings", "setup")
+SETUP_WORDS = ("create", "configure", "initialize", "metadata", "schema")
 
-SUFFIXES = tuple(".prisma .html .css .sh .toml .yaml .yml .json .mdx .md .rs .go .java .cts .mts .tsx .ts .cjs .mjs .jsx .js .py".split())
-FILE_NAMES = ("Dockerfile", ".env.example")
-LOCK_FILES = ("yarn.lock", "pnpm-lock.yaml", "package-lock.json", "bun.lockb")
-SKIPPED_DIRS = tuple("venv vendor tmp node_modules logs dist coverage build __pycache__ .vite .venv .turbo .ruff_cache .pytest_cache .parcel-cache .opencode .next .mypy_cache .git .cache .agents".split())
+#: Files that are read, and those that are not.
+SUFFIXES = (
+    ".py", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", ".java", ".go", ".rs", ".md", ".mdx", ".json", ".yml", ".yaml",
+    ".toml", ".sh", ".css", ".html", ".prisma",
+)
+FILE_NAMES = (".env.example", "Dockerfile")
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
+SKIPPED_DIRS = (
+    ".agents", ".cache", ".git", ".mypy_cache", ".next", ".opencode", ".parcel-cache", ".pytest_cache", ".ruff_cache", ".turbo", ".vite",
+    "dist", "build", "coverage", "logs", "node_modules", "tmp", "vendor", ".venv", "venv", "__pycache__",
+)
 MAX_BYTES = 250_000
-LANGUAGES = {".rs": "rust", ".go": "go", ".java": "java", ".tsx": "tsx", ".ts": "typescript", ".jsx": "javascript", ".js": "javascript", ".py": "python"}
+LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust",
+}
+#: Words that begin a definition where no parser knows the language.
+DEFINITION_WORDS = ("def", "class", "function", "const", "export", "interface", "type")
+
+#: Reasons for which an answer may end, and words that none ends with.
+FINISHED = ("stop", "stopsequence", "finish_reason_unspecified")
+TAIL_WORDS = ("a", "an", "the", "to", "for", "with", "of", "in", "on", "from", "about")
 
 #: An example of a path-hint table: (terms, paths). Users bring their own.
 EXAMPLE_RULES = ((("mail", "smtp", "inbox"), ("services/mail", "lib/mailer.py")), (("queue", "worker", "/cron"), ("services/worker", "lib/queue")), (("login", "auth"), ("lib/auth", "services/login/")))

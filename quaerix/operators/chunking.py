@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaerix.functions import vocab
 
-DEFINITION = re.compile(r"\s*(?:type|interface|export|const|function|class|def) ")
+DEFINITION = re.compile(rf"\s*(?:{'|'.join(vocab.DEFINITION_WORDS)}) ")
 CHUNK = "symbol_name string, symbol_type string, line_start int, line_end int, signature string, content string, parser string"
 
 

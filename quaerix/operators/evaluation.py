@@ -142,11 +142,12 @@ def audit_rows(cases: DataFrame) -> DataFrame:
     blank = lambda c: squash(F.col(c)) == ""
     named = cases.withColumn("id", F.coalesce(F.when(F.col("id") != "", F.col("id")), "question", F.lit("?")))
     raw = F.size(F.filter(F.coalesce("must_include_any", F.array().cast("array<string>")), lambda k: strip(k) != ""))
+    found = lambda severity, problem: F.struct(F.lit(severity).alias("severity"), F.lit(problem).alias("problem"))
     checks = F.array(
-        F.when(blank("question"), F.struct(F.lit("error").alias("severity"), F.lit("missing question").alias("problem"))),
-        F.when(blank("ground_truth"), F.struct(F.lit("error"), F.lit("missing ground_truth"))),
-        F.when(F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) == 0, F.struct(F.lit("error"), F.lit("expected_sources must not be empty"))),
-        F.when(F.size(keywords(F.col("must_include_any"))) != raw, F.struct(F.lit("warning"), F.lit("keywords repeat after normalisation"))),
+        F.when(blank("question"), found("error", "missing question")),
+        F.when(blank("ground_truth"), found("error", "missing ground_truth")),
+        F.when(F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) == 0, found("error", "expected_sources must not be empty")),
+        F.when(F.size(keywords(F.col("must_include_any"))) != raw, found("warning", "keywords repeat after normalisation")),
     )
     single = named.select("id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("c")).select("id", "c.severity", "c.problem")
     twice = named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("error").alias("severity"), F.lit("duplicate id").alias("problem"))

@@ -80,16 +80,16 @@ def canonical_priority(f: Column) -> Column:
 
     score = fragment_points(path, f["fragments"], 8) + hint_points(path, f["hints"], 8, 4)
     score += F.least(F.size(F.filter(f["terms"], lambda t: F.contains(source, t))), F.lit(6)) + _sum(f["terms"], term)
-    score += _hit(what("api") & ((base == "__init__.py") | stem.isin("public", "index", "api")), 4)
-    score += _hit(what("api") & has_any(path, ("controller", "route", "api")), 2)
+    score += _hit(what("api") & ((base == "__init__.py") | stem.isin(*vocab.API_STEMS)), 4)
+    score += _hit(what("api") & has_any(path, vocab.API_PATHS), 2)
     score += _hit(what("implementation", "cross_file") & ~doc, 2)
     score += _hit(what("implementation", "cross_file") & (F.coalesce("symbol_type", F.lit("")) != "fallback_chunk"), 1)
     tested = path.startswith("tests/") | path.contains("/tests/") | base.startswith("test_") | base.rlike(r"(?:_test\.py|\.(?:test|spec)\.(?:js|ts))$")
     score += _hit(what("tests") & tested, 5)
-    score += _hit(what("error_handling") & has_any(source, ("invalid", "error", "except", "raise")), 3)
+    score += _hit(what("error_handling") & has_any(source, vocab.ERROR_WORDS), 3)
     score += _hit(what("error_handling") & path.contains("test"), 1)
-    score += _hit(what("setup") & (base.isin(*vocab.SETUP_FILES) | has_any(path, ("setup", "settings", "config"))), 3)
-    score += _hit(what("setup") & has_any(source, ("schema", "metadata", "initialize", "configure", "create")), 1)
+    score += _hit(what("setup") & (base.isin(*vocab.SETUP_FILES) | has_any(path, vocab.SETUP_PATHS)), 3)
+    score += _hit(what("setup") & has_any(source, vocab.SETUP_WORDS), 1)
     score += F.when(what("docs", "overview") & doc, doc_priority(F.col("file_path")) + 1).otherwise(0)
     score += _hit(doc & what(*vocab.DOC_PENALTY), -3)
     return score + _hit(path.startswith(".agents/") | path.startswith(".opencode/"), -8)

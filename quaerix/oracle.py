@@ -45,7 +45,7 @@ def overview(x: str) -> str:
 
 def intent(x: str) -> str:
     n = low(x)
-    whens = " ".join(f"WHEN {has_term(n, t.split('|'))} THEN '{name}'" for name, t in vocab.INTENTS)
+    whens = " ".join(f"WHEN {has_term(n, t)} THEN '{name}'" for name, t in vocab.INTENTS)
     return f"CASE WHEN {n} = '' THEN 'general' WHEN {overview(x)} THEN 'overview' {whens} WHEN {has_any(n, vocab.DOCS)} THEN 'docs' ELSE 'general' END"
 
 
@@ -76,9 +76,8 @@ def hints(x: str, rules=vocab.EXAMPLE_RULES) -> str:
 def expand(x: str) -> str:
     n, parts = low(x), []
     for triggers, every, adds in vocab.EXPANSIONS:
-        names = triggers.split("|")
-        hit = " AND ".join(f"contains({n}, '{t}')" for t in names) if every else has_any(n, names)
-        parts.append(f"CASE WHEN {hit} THEN [{_lit(adds.split('|'))}] ELSE []::VARCHAR[] END")
+        hit = " AND ".join(f"contains({n}, '{t}')" for t in triggers) if every else has_any(n, triggers)
+        parts.append(f"CASE WHEN {hit} THEN [{_lit(adds)}] ELSE []::VARCHAR[] END")
     compound = f"list_transform(list_filter(list_transform({code_terms(sq(x))}, lambda t: list_filter(regexp_split_to_array(t, '[._/-]+'), lambda p: length(p) > 2)), lambda p: len(p) > 1), lambda p: array_to_string(p, ' '))"
     every = f"list_concat({', '.join(parts)}, {hints(x)}, {compound})"
     return f"{sq(x)} || CASE WHEN len({every}) > 0 THEN chr(10) || array_to_string({every}, ' ') ELSE '' END"
@@ -159,12 +158,12 @@ def priority() -> str:
     parts = [
         _points("frags", "f", f"CASE WHEN contains({p}, f) THEN 8 ELSE 0 END"), _hint_points(8, 4),
         f"least(len(list_filter(terms, lambda t: contains({src}, t))), 6)", _points("terms", "t", term),
-        b(f"about = 'api' AND ({base} = '__init__.py' OR {stem} IN ('index', 'public', 'api'))", 4), b(f"about = 'api' AND {has_any(p, ('api', 'route', 'controller'))}", 2),
+        b(f"about = 'api' AND ({base} = '__init__.py' OR {stem} IN ({_lit(vocab.API_STEMS)}))", 4), b(f"about = 'api' AND {has_any(p, vocab.API_PATHS)}", 2),
         b(f"about IN ('implementation', 'cross_file') AND NOT {DOC}", 2), b("about IN ('implementation', 'cross_file') AND symbol_type <> 'fallback_chunk'", 1),
         b(f"about = 'tests' AND (starts_with({p}, 'tests/') OR contains({p}, '/tests/') OR starts_with({base}, 'test_') OR regexp_matches({base}, '(_test\\.py|\\.(test|spec)\\.(js|ts))$'))", 5),
-        b(f"about = 'error_handling' AND {has_any(src, ('raise', 'except', 'error', 'invalid'))}", 3), b(f"about = 'error_handling' AND contains({p}, 'test')", 1),
-        b(f"about = 'setup' AND ({base} IN ({_lit(vocab.SETUP_FILES)}) OR {has_any(p, ('config', 'settings', 'setup'))})", 3),
-        b(f"about = 'setup' AND {has_any(src, ('create', 'configure', 'initialize', 'metadata', 'schema'))}", 1),
+        b(f"about = 'error_handling' AND {has_any(src, vocab.ERROR_WORDS)}", 3), b(f"about = 'error_handling' AND contains({p}, 'test')", 1),
+        b(f"about = 'setup' AND ({base} IN ({_lit(vocab.SETUP_FILES)}) OR {has_any(p, vocab.SETUP_PATHS)})", 3),
+        b(f"about = 'setup' AND {has_any(src, vocab.SETUP_WORDS)}", 1),
         f"CASE WHEN about IN ('docs', 'overview') AND {DOC} THEN {DOCPRI} + 1 ELSE 0 END", b(f"{DOC} AND about IN ({_lit(vocab.DOC_PENALTY)})", -3),
         b(f"starts_with({p}, '.agents/') OR starts_with({p}, '.opencode/')", -8),
     ]
@@ -242,12 +241,12 @@ def eval_details() -> str:
     want, got = f"list_transform(expected_sources, lambda e: {norm_path('e')})", f"list_transform(retrieved_sources, lambda a: {norm_path('a')})"
     stop = _lit(vocab.EVAL_STOP)
     return f"""{CASES},
-e0 AS (SELECT *, {want} AS want, {got} AS got, {eval_tokens("answer")} AS at, {eval_tokens("ground_truth")} AS gt,
+e0 AS (SELECT *, {want} AS want, {got} AS got, {eval_tokens("answer")} AS said, {eval_tokens("ground_truth")} AS gt,
   list_filter(list_transform(must_include_any, lambda k: array_to_string({eval_tokens("k")}, ' ')), lambda p: p <> '') AS kw0 FROM cs),
 e1 AS (SELECT *, list_transform(got, lambda a: len(list_filter(want, lambda e: {path_match("a", "e")})) > 0) AS flags, list_distinct(got) AS uq,
   list_filter(kw0, lambda k, i: list_position(kw0, k) = i) AS kw, list_distinct(list_filter(gt, lambda t: length(t) > 2 AND t NOT IN ({stop}))) AS rt FROM e0),
-e2 AS (SELECT *, coalesce(list_position(flags, true), 0) AS first, list_sort(list_filter(kw, lambda k: contains(' ' || array_to_string(at, ' ') || ' ', ' ' || k || ' '))) AS mk,
-  list_sort(list_filter(rt, lambda t: list_contains(at, t))) AS mt FROM e1),
+e2 AS (SELECT *, coalesce(list_position(flags, true), 0) AS first, list_sort(list_filter(kw, lambda k: contains(' ' || array_to_string(said, ' ') || ' ', ' ' || k || ' '))) AS mk,
+  list_sort(list_filter(rt, lambda t: list_contains(said, t))) AS mt FROM e1),
 d AS (SELECT id, category, (first > 0)::INT AS retrieval_hit, coalesce(flags[1], false)::INT AS top1_hit,
   len(list_filter(list_distinct(want), lambda e: len(list_filter(got, lambda a: {path_match("a", "e")})) > 0))::DOUBLE / len(list_distinct(want)) AS source_recall,
   CASE WHEN first > 0 THEN 1.0::DOUBLE / first ELSE 0 END AS mrr, len(list_filter(uq, lambda a: len(list_filter(want, lambda e: {path_match("a", "e")})) > 0))::DOUBLE / len(uq) AS unique_source_precision,
@@ -255,7 +254,7 @@ d AS (SELECT id, category, (first > 0)::INT AS retrieval_hit, coalesce(flags[1],
   CASE WHEN len(kw) > 0 THEN (len(mk) >= min_keyword_matches)::INT END AS keyword_pass, len(mk) AS matched_keyword_count, len(kw) AS total_keywords, array_to_string(mk, '|') AS matched_keywords,
   array_to_string(list_filter(kw, lambda k: NOT list_contains(mk, k)), '|') AS missing_keywords, CASE WHEN len(rt) > 0 THEN len(mt)::DOUBLE / len(rt) END AS ground_truth_lexical_overlap,
   CASE WHEN len(rt) > 0 THEN (len(mt)::DOUBLE / len(rt) >= 0.2 AND len(mt) >= 2)::INT END AS reference_support_pass, len(mt) AS reference_term_match_count, len(rt) AS reference_term_count,
-  array_to_string(mt, '|') AS matched_reference_terms, len(at) AS answer_word_count, (len(at) >= 40)::INT AS has_substantive_answer FROM e2)"""
+  array_to_string(mt, '|') AS matched_reference_terms, len(said) AS answer_word_count, (len(said) >= 40)::INT AS has_substantive_answer FROM e2)"""
 
 
 RATES = """count(*) AS case_count, round(avg(retrieval_hit), 4) AS retrieval_hit_rate, round(avg(top1_hit), 4) AS top1_hit_rate, round(avg(source_recall), 4) AS source_recall, round(avg(mrr), 4) AS mrr,

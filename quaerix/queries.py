@@ -480,7 +480,7 @@ def clean_markdown(spark, d):
 
 
 _INC = rf"""SELECT doc_id, t = '' OR regexp_matches(t, '[#*:(\[/`-]$') OR regexp_matches(lower(t), '\[source( [1-4])?$') OR len(string_split(t, '```')) % 2 = 0 OR len(string_split(t, '(')) > len(string_split(t, ')')) OR len(string_split(t, '[')) > len(string_split(t, ']'))
-OR len(w) = 0 OR coalesce(w[-1] IN ({O._lit(answer.TAIL_WORDS)}), false) OR (len(w) >= 20 AND NOT regexp_matches(t, '[.!?"''`]$')) AS incomplete FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}\p{{M}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM (SELECT doc_id, {_st('draft')} AS t FROM (SELECT doc_id, {_MD} AS draft FROM documents)))"""
+OR len(w) = 0 OR coalesce(w[-1] IN ({O._lit(vocab.TAIL_WORDS)}), false) OR (len(w) >= 20 AND NOT regexp_matches(t, '[.!?"''`]$')) AS incomplete FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}\p{{M}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM (SELECT doc_id, {_st('draft')} AS t FROM (SELECT doc_id, {_MD} AS draft FROM documents)))"""
 
 
 @query(_INC)

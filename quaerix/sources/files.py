@@ -26,8 +26,8 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    top = F.lit(base.split("://")[-1].lstrip("/") + "/")
-    relative = F.substring_index(plain, top, -1)
+    top = base.split("://")[-1].lstrip("/") + "/"
+    relative = F.substring(plain, F.instr(plain, top) + F.lit(len(top)), F.length(plain))
     kept = found.withColumn("file_path", relative).filter(accepted(F.col("file_path"), F.col("length")))
 
     @F.pandas_udf("string")
