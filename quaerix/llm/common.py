@@ -89,7 +89,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """The rows of *docs* whose id is not in *ids* (one column, materialised); rows with a null id stay."""
     ids = ids.toDF("_out")
     side = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
-    return docs.join(side, F.col(id_col) == F.col("_out"), "left_anti")
+    return docs.join(side, docs[id_col] == side["_out"], "left_anti")
 
 
 def sha_text(col: Column) -> Column:
@@ -97,12 +97,23 @@ def sha_text(col: Column) -> Column:
     return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
 
 
+def _to_ends(low: DataFrame, max_rounds: int) -> DataFrame:
+    """Pointers (node, parent) of a forest moved to its roots: each step spans four times as far as the one before."""
+    far = lambda x: x.join(x.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
+    for _ in range(max_rounds):
+        low = materialize(far(far(low).select("node", "parent")), "ccp")
+        if low.filter("moved").isEmpty():
+            return low.select("node", "parent")
+        low = low.select("node", "parent")
+    raise RuntimeError("pointers did not end; raise max_rounds")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) longs; component is the smallest node.
 
-    Each round points every node at its smallest neighbour if that is smaller,
-    shortens the pointers twice, and relabels the edges by them; edges inside a
-    component vanish, so that the rest shrinks at least by half in nodes.
+    Each round points every node at its smallest neighbour if that is smaller, doubles
+    the pointers until all reach the ends of their chains, and relabels the edges by them; edges inside a
+    component vanish, and only nodes without a smaller neighbour are left for the next round.
     Every table lives in the shared folder; only counts reach the driver.
     Empty edges give an empty table. Self-loops make a node its own component.
     """
@@ -117,11 +128,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             live.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent"))
             .groupBy("node").agg(F.min("parent").alias("parent"))
         )
-        low = materialize(low, "ccp")
-        up = low.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-        for _ in range(2):
-            low = low.join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"))
-        low = materialize(low, "ccp")
+        low = _to_ends(materialize(low, "ccp"), max_rounds)
         levels.append(low)
         to = lambda c: low.select(F.col("node").alias(c), F.col("parent").alias(f"{c}2"))
         live = (
