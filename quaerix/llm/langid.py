@@ -43,17 +43,20 @@ def presence(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.uint8)
     alpha = _alpha()
     for row, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), BUFFER):
-            # Two characters more: no n-gram is lost between buffers.
-            c = np.frombuffer(text[at : at + BUFFER + 2].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        tail, flags = np.array([32], dtype=np.uint32), out[row]
+        for at in range(0, len(text), BUFFER):
+            c = np.frombuffer(text[at : at + BUFFER].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             letter = alpha[np.minimum(c, 0x10FFFF)]
-            if not letter.any():
-                continue
+            # Of blanks in a row the first one stays, also where they lie in two buffers.
             keep = letter.copy()
             keep[1:] |= letter[:-1]
-            c = np.concatenate(([32], np.where(letter, c, 32)[keep], [32])).astype(np.uint32)
+            keep[0] |= tail[-1] != 32
+            c = np.concatenate((tail, np.where(letter, c, 32)[keep], [32] if at + BUFFER >= len(text) else [])).astype(np.uint32)
+            # The last two characters go on with the next buffer: no n-gram is lost and none is made up.
+            tail = c[-2:]
+            if (c == 32).all():
+                continue
             one = c * np.uint32(0x9E3779B1)
-            flags = out[row]
             flags[(one >> np.uint32(21))[c != 32]] = 1
             two = one[:-1] * np.uint32(0x85EBCA6B) + one[1:]
             flags[OFFSETS[1] + ((two * np.uint32(0xC2B2AE35)) >> np.uint32(19))] = 1
