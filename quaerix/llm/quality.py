@@ -29,14 +29,18 @@ PER_CLASS = 1200
 THRESHOLD = 0.3
 
 
-def kinds(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of feature: buckets of all texts' features in order, and the bounds of each text's."""
+def kinds(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of feature: buckets of all texts' features in order, and where each text's begin and end.
+
+    No feature spans two texts, so that a text's features do not depend on its neighbours.
+    """
     words, first = word_hashes(texts)
-    yield (words >> np.uint64(48)).astype(np.uint16), first
+    yield (words >> np.uint64(48)).astype(np.uint16), first[:-1], first[1:]
     repeats = np.full(len(words), 7, dtype=np.uint16)
-    repeats[2:][words[2:] == words[:-2]] = 12
-    repeats[1:][words[1:] == words[:-1]] = 11
-    yield repeats, first
+    at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    repeats[2:][(words[2:] == words[:-2]) & (at[2:] >= 2)] = 12
+    repeats[1:][(words[1:] == words[:-1]) & (at[1:] >= 1)] = 11
+    yield repeats, first[:-1], first[1:]
     data = [b" " + t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     buf = np.frombuffer(b"".join(data), dtype=np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(d) for d in data])))
@@ -48,25 +52,26 @@ def kinds(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if n in GRAMS:
             h = code * np.uint32(0x9E3779B1) + np.uint32(n)
             h ^= h >> np.uint32(15)
-            yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16), np.minimum(bounds, len(code))
+            yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16), bounds[:-1], np.maximum(bounds[1:] - (n - 1), bounds[:-1])
 
 
-def means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The mean of each run; 0 of an empty one."""
-    n = np.diff(bounds)
+    n = ends - starts
     out, full = np.zeros(len(n)), n > 0
     if full.any():
-        # An empty run begins where the next one does, so the full ones' starts still bound them.
-        out[full] = np.add.reduceat(values[: bounds[-1]], bounds[:-1][full], dtype=np.float64) / n[full]
+        # Sums from each start to its end, and between runs, which are left out. One value more: an end may be the last.
+        edges = np.stack([starts[full], ends[full]], axis=1).ravel()
+        out[full] = np.add.reduceat(np.append(values, np.float32(0)), edges, dtype=np.float64)[::2] / n[full]
     return out
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's features as distinct buckets and weights that sum to 1 (to 0 for a text without any)."""
     total = np.zeros(BUCKETS, dtype=np.float64)
-    parts = [(b, bounds) for b, bounds in kinds([text]) if bounds[-1] > bounds[0]]
-    for buckets, bounds in parts:
-        total += np.bincount(buckets[: bounds[-1]], minlength=BUCKETS) / (bounds[-1] * len(parts))
+    parts = [buckets[a[0] : b[0]] for buckets, a, b in kinds([text]) if b[0] > a[0]]
+    for own in parts:
+        total += np.bincount(own, minlength=BUCKETS) / (len(own) * len(parts))
     at = np.flatnonzero(total)
     return at.astype(np.uint32), total[at].astype(np.float32)
 
@@ -86,9 +91,9 @@ class Model:
                 size += len(whole[end])
                 end += 1
             logit, used = np.zeros(end - at), np.zeros(end - at)
-            for buckets, bounds in kinds(whole[at:end]):
-                logit += means(self.value[buckets], bounds)
-                used += np.diff(bounds) > 0
+            for buckets, starts, ends in kinds(whole[at:end]):
+                logit += means(self.value[buckets], starts, ends)
+                used += ends > starts
             logit = logit / np.maximum(used, 1) + self.bias
             out[at:end] = 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
             at = end
