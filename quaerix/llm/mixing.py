@@ -3,9 +3,9 @@
 The mix takes each document at a rate w. Among all rates whose words by source
 meet the targets, entropy balancing takes those nearest to 1 in the sense of
 ``sum(size * (w log w - w + 1))``. The convex dual has one variable per source,
-``sum(size * exp(lambda)) - sum(lambda * target)``; Newton iterations solve it, each one
-distributed aggregation by source, and ``w = exp(lambda[source])``: exponentially
-tilted rates. They are rounded into whole copies by carrying the remainder of
+``sum(size * exp(lambda)) - sum(lambda * target)``, and the documents enter it by their sums alone:
+one distributed aggregation by source gathers these, Newton iterations solve the dual
+where each source's row is, and ``w = exp(lambda[source])``: exponentially tilted rates. They are rounded into whole copies by carrying the remainder of
 words from document to document, large ones first, in bounded buckets.
 """
 
@@ -113,7 +113,11 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
 
 
 def take(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of *docs* with all their columns, each as often as its copies."""
+    """The mix itself: the rows of *docs* with all their columns, each as often as its copies.
+
+    Rows that repeat an id are taken as often as the one of them that is taken most.
+    """
     copies = mix(docs, text, id_col, source, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_n"))
-    held = docs.join(copies, F.col(id_col) == F.col("_id")).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return held.select(docs.columns)
+    # As one struct, so that no column of the input clashes with a name used here.
+    held = docs.select(F.col(id_col).cast("long").alias("_key"), F.struct(*docs.columns).alias("_row")).join(copies, F.col("_key").eqNullSafe(F.col("_id")))
+    return held.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_c")).select("_row.*")
