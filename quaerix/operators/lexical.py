@@ -17,9 +17,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_BROADCAST = 1 << 18
 
 
+def fits(df: DataFrame, most: int = MAX_BROADCAST) -> bool:
+    """Whether *df* has at most *most* rows, which is counted."""
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """*df* with a broadcast hint if it has at most *most* rows, which is counted; joined by a shuffle otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """*df* with a broadcast hint if it has at most *most* rows; joined by a shuffle otherwise."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
@@ -53,9 +58,11 @@ def raw_idf(n: Column, df: Column) -> Column:
 
 def idf_table(terms: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(repository, term, df, idf): a negative idf is replaced by epsilon times the mean over the vocabulary."""
-    raw = terms.join(small(corpus.select("repository", "n")), "repository").withColumn("raw", raw_idf(F.col("n"), F.col("df")))
+    # Both tables have a row for each repository: these are counted once, and without reading texts.
+    hint = F.broadcast if fits(corpus.select("repository")) else (lambda df: df)
+    raw = terms.join(hint(corpus.select("repository", "n")), "repository").withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = raw.groupBy("repository").agg(F.avg("raw").alias("mean"))
-    return raw.join(small(mean), "repository").select("repository", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(hint(mean), "repository").select("repository", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: float = B, posted: DataFrame | None = None) -> DataFrame:
@@ -65,14 +72,23 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: flo
     they are ranked, ties by id. A query without tokens or a repository without chunks gives no rows.
     """
     asked = questions.select("qid", "repository", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "repository", "term").agg(F.count("*").alias("times"))
-    asked = small(asked)
-    posted = postings(chunks) if posted is None else posted
-    docs = doc_stats(chunks)
+    # What is joined below has at most a row for each asked term: its size is counted here, once.
+    hint = F.broadcast if fits(asked) else (lambda df: df)
+    asked = hint(asked)
+    held = token_table(chunks)
+    docs = held.select("repository", "id", "dl")
     corpus = corpus_stats(docs)
-    idf = idf_table(term_stats(posted), corpus)
-    weights = idf.join(asked, ["repository", "term"])
-    hits = posted.join(small(weights), ["repository", "term"])
-    sized = hits.join(docs, ["repository", "id"]).join(small(corpus), "repository")
+    if posted is None:
+        terms = held.select("repository", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("repository", "term").agg(F.count("*").alias("df"))
+        # Asked terms alone are counted by document, in the task that reads its text; no other posting is shuffled.
+        words = hint(asked.select("repository", "term").distinct())
+        counted = held.select("repository", "id", "dl", F.explode("tokens").alias("term")).join(words, ["repository", "term"], "left_semi")
+        counted = counted.groupBy("repository", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    else:
+        terms = term_stats(posted)
+        counted = posted.join(docs, ["repository", "id"])
+    weights = idf_table(terms, corpus).join(asked, ["repository", "term"])
+    sized = counted.join(hint(weights), ["repository", "term"]).join(small(corpus.select("repository", "avgdl")), "repository")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = sized.groupBy("qid", "repository", "id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
     first = Window.partitionBy("repository").orderBy("id")
