@@ -6,7 +6,8 @@ meet the targets, entropy balancing takes those nearest to 1 in the sense of
 ``sum(size * exp(lambda)) - sum(lambda * target)``, and the documents enter it by their sums alone:
 one distributed aggregation by source gathers these, Newton iterations solve the dual
 where each source's row is, and ``w = exp(lambda[source])``: exponentially tilted rates. They are rounded into whole copies by carrying the remainder of
-words from document to document, large ones first, in bounded buckets.
+words from document to document, large ones first, in bounded buckets; documents that outweigh a bucket have buckets of their own.
+What all buckets of a source have left is then settled: bucket after bucket takes all or nothing, and the last one is rounded anew with the rest.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ SHARE = 1.5
 CAP = 2.0
 #: Documents that are rounded together; more are spread by a hash of their id.
 BUCKET = 192
+#: Buckets of one source, at most; their totals are summed up in one task.
+MAX_BUCKETS = 1 << 14
+#: A document with over one part in LARGE of an average bucket's words is rounded with others of about its size.
+LARGE = 8
 #: Newton steps; a target of e**-40 of its source still converges.
 NEWTON_STEPS = 64
 
@@ -76,17 +81,52 @@ def entropy_balance(cells: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return out.withColumn("residual", F.when(live, F.abs(F.col("rate") * F.col("source_size") / F.col("target") - 1)))
 
 
+SCHEMA = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
+COLUMNS = ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
+
+
 def _copies(pdf: pd.DataFrame, cap: float = CAP) -> pd.DataFrame:
+    """Round one bucket. With *copies* and *left* (words that its source still misses), round it anew so that it takes those as well."""
     pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
     size = pdf["size"].to_numpy(np.float64)
     out = np.zeros(len(pdf), dtype=np.int64)
     rate, due, most = float(pdf["rate"].iloc[0]), 0.0, int(cap)
+    if "left" in pdf:
+        old, left = pdf["copies"].to_numpy(), float(pdf["left"].iloc[0])
+        due = left + (old * size).sum() - rate * size.sum()
     for i, n in enumerate(size):
         due += rate * n
         if n:
             out[i] = min(max(int(due / n + 0.5), 0), most)
             due -= out[i] * n
-    return pdf.assign(copies=out)[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
+    if "left" in pdf and abs(due) > abs(left):
+        out = old
+    return pdf.assign(copies=out)
+
+
+def _settle(rounded: DataFrame, cap: float, n: int) -> DataFrame:
+    """Let buckets, in the order of their numbers, take all or nothing until the words that a source misses are met; the last is rounded anew.
+
+    rounded: COLUMNS, _key, _b. Sums are of whole numbers, so reruns agree. One row for each source is joined to the documents.
+    """
+    most = int(cap)
+    taken, size = F.col("copies") * F.col("size"), F.col("size")
+    buckets = rounded.groupBy("_key", "_b").agg(F.sum(taken).alias("took"), F.sum(size).alias("words"), F.count("*").alias("docs"), F.first("target").alias("target"))
+    every, before = Window.partitionBy("_key"), Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumns({"miss": F.col("target") - F.sum("took").over(every), "docs": F.sum("docs").over(every)})
+    room = F.when(F.col("miss") >= 0, F.col("words") * most - F.col("took")).otherwise(F.col("took"))
+    buckets = buckets.withColumn("room", room).withColumn("before", F.coalesce(F.sum("room").over(before), F.lit(0)))
+    cut = F.when(F.col("before") + F.col("room") > F.abs("miss"), F.struct("_b", (F.col("miss") - F.signum("miss") * F.col("before")).alias("left")))
+    plan = buckets.groupBy("_key").agg(F.min(cut).alias("cut"), F.first("miss").alias("miss"), F.first("docs").alias("docs"))
+    plan = plan.select("_key", "docs", F.col("cut._b").alias("cut"), F.col("cut.left").alias("left"), (F.col("miss") >= 0).alias("more"))
+    joined = join_keyed(rounded, materialize(plan, "settling"), "_key", "docs", n)
+    at = F.col("_b").eqNullSafe(F.col("cut"))
+    # Without a cut, all buckets together cannot meet the target: they all take all or nothing.
+    spent = F.col("cut").isNull() | (F.col("_b") < F.col("cut"))
+    limit = F.when(F.col("more") & (size > 0), F.lit(most)).otherwise(F.lit(0)).cast("long")
+    whole = joined.filter(~at).withColumn("copies", F.when(spent, limit).otherwise(F.col("copies"))).select(COLUMNS)
+    anew = joined.filter(at).groupBy("_key", "_b").applyInPandas(lambda pdf: _copies(pdf, cap)[COLUMNS], SCHEMA)
+    return whole.unionByName(anew)
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -106,9 +146,15 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     solved = materialize(solved.withColumn("_key", key).drop("source"), "rates")
     n = rows.count()
     joined = join_keyed(rows.withColumn("_key", key), solved, "_key", "docs", n)
-    spread = F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(F.col("docs") / F.lit(BUCKET)), F.lit(1)))
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
-    done = joined.withColumn("_b", spread).groupBy("_key", "_b").applyInPandas(lambda pdf: _copies(pdf, cap), schema)
+    number = F.least(F.greatest(F.ceil(F.col("docs") / F.lit(BUCKET)), F.lit(1)), F.lit(MAX_BUCKETS))
+    hashed, log = F.xxhash64("doc_id"), F.floor(F.log2(F.greatest("size", F.lit(1))))
+    large = (F.col("_n") > 1) & (F.col("size") * F.col("_n") * LARGE > F.col("source_size"))
+    # Fewer than LARGE * _n documents are large. Their buckets are numbered after the others, by size.
+    parts = F.ceil(F.col("_n") * LARGE / F.lit(BUCKET))
+    bucket = F.when(large, F.col("_n") + log * parts + F.pmod(hashed, parts)).otherwise(F.pmod(hashed, F.col("_n")))
+    dealt = joined.withColumn("_n", number).withColumn("_b", bucket.cast("long")).groupBy("_key", "_b")
+    rounded = dealt.applyInPandas(lambda pdf: _copies(pdf, cap)[[*COLUMNS, "_key", "_b"]], f"{SCHEMA}, _key string, _b long")
+    done = _settle(materialize(rounded, "rounded"), cap, n)
     return done.withColumn("taken", F.col("copies") * F.col("size"))
 
 

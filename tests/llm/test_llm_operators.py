@@ -403,6 +403,21 @@ def test_mixing_odd_rows(spark):
     assert all(r["taken"] == 0 for r in mixing.mix(docs(spark, [(1, None), (2, "")])).collect())
 
 
+@pytest.mark.parametrize("share", [0.5, 0.6, 1.45])
+def test_mixing_with_documents_larger_than_a_bucket(spark, share):
+    rng = np.random.default_rng(1)
+    words = [*rng.integers(100, 500, 5000).tolist(), 100_000, 220_000, 300_000]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, n int")
+    d = rows.select("doc_id", F.expr("repeat('w ', n)").alias("text"), F.lit("s").alias("source")).repartition(8)
+    got = mixing.mix(d, share=share).toPandas()
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == dict(enumerate(words))
+    assert got.copies.between(0, 2).all()
+    assert got.target.iloc[0] == pytest.approx(share * sum(words))
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 500
+    # Few documents settle the rest; the others stay at the copies next to their rate.
+    assert (abs(got.copies - share) < 1).mean() > 0.9
+
+
 def test_newton_meets_the_constraint(spark):
     cells = spark.createDataFrame([("a", 100, 1.0), ("b", 100, 200.0), ("c", 0, 5.0), ("d", 5, 0.0), ("e", 10**12, 3.0)], "source string, source_size long, target double")
     for r in mixing.entropy_balance(cells).collect():
