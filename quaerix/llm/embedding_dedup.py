@@ -2,7 +2,8 @@
 
 Vectors are centred, turned by rotations that iterative quantisation learns (each alternates
 between binary codes and the rotation that fits them best), and signed into
-balanced binary codes. The codes of several rotations are one long code; its
+balanced binary codes. Centring widens angles where vectors share a direction: the tables are sized for that, or
+the vectors stay as they are under random rotations, whichever is less work (`plan`). The codes of several rotations are one long code; its
 substrings are the tables of a multi-index: any two codes that differ in fewer bits
 than there are tables share a substring, and others do by chance. Vectors that
 share one are reranked by the cosine of the original vectors in double precision.
@@ -29,6 +30,10 @@ SAMPLE = 4096
 ITERATIONS = 40
 #: The chance that a pair just at the threshold shares no table.
 MISS = 0.01
+#: So many rows compared weigh as much as one key that is shuffled, when centre and bits are chosen.
+COLLISIONS = 32
+#: A key that collides carries its vector, which weighs as much as so many keys.
+HELD = 10
 #: Rows of one block.
 BLOCK = 256
 
@@ -44,33 +49,75 @@ def learn_rotation(x: np.ndarray, seed: int, iterations: int = ITERATIONS) -> np
     return r
 
 
+def _tables(cosine: float, bits: int) -> int:
+    """Tables of so many bits of which vectors at *cosine* share none with a chance of MISS."""
+    agree = (1.0 - math.acos(cosine) / math.pi) ** bits
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(agree, 1.0 - MISS))))
+
+
+def plan(x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, int, int]:
+    """Centre, bits and tables for *n* vectors like the unit vectors *x*.
+
+    Two unit vectors at the threshold, both at a distance a from the centre, have the cosine ``1 - (1 - threshold) / a**2`` as seen
+    from there. The tables are sized by the least a of the sample. Where that takes more than twice the tables of centred
+    data, the centre (mean or origin) and the bits are those of the least work: keys, and rows compared because they collide.
+    """
+    d = x.shape[1]
+    bits = min(max(16, math.ceil(math.log2(max(n, 2)))), 48)
+    origin = np.zeros(d), bits, _tables(threshold, bits)
+    if len(x) < 2 * d:
+        return origin
+    best = None
+    for centre in (x.mean(axis=0), origin[0]):
+        r = x - centre
+        norm = np.linalg.norm(r, axis=1)
+        least = float(norm.min()) ** 2
+        if least <= 1.0 - threshold:
+            continue
+        cosine = 1.0 - (1.0 - threshold) / least
+        if centre is not origin[0] and _tables(cosine, bits) <= 2 * origin[2]:
+            return centre, bits, _tables(cosine, bits)
+        u = (r / norm[:, None])[:512]
+        others = (u @ u.T)[~np.eye(len(u), dtype=bool)]
+        agree = 1.0 - np.arccos(np.clip(others, -1.0, 1.0)) / math.pi
+        for b in range(bits, 7, -1):
+            tables = _tables(cosine, b)
+            met = n * float((agree**b).mean())
+            work = tables * (1.0 + HELD * min(met, 1.0) + met / COLLISIONS)
+            if best is None or work < best[0]:
+                best = work, (centre, b, tables)
+    return best[1] if best else origin
+
+
 class Codes:
     """The learned rotations for each length of vector, and the tables' keys."""
 
-    def __init__(self, bits: int, tables: int, sample: dict[int, np.ndarray]) -> None:
-        self.bits, self.tables, self.sample = bits, tables, sample
-        self.models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, n: int, threshold: float, sample: dict[int, np.ndarray]) -> None:
+        self.n, self.threshold = n, threshold
+        self.models = {d: self._model(d, x) for d, x in sample.items()}
+        #: The most tables of any length.
+        self.tables = max((m[3] for m in self.models.values()), default=0)
+        self.tables = max(self.tables, plan(np.zeros((0, 1)), n, threshold)[2])
 
-    def fit(self) -> Codes:
-        for d, x in self.sample.items():
-            self.models[d] = self._model(d, x)
-        self.sample = {}
-        return self
-
-    def _model(self, d: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = x.mean(axis=0) if len(x) >= 2 * d else np.zeros(d)
+    def _model(self, d: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        mean, bits, tables = plan(x, self.n, self.threshold)
         axes = np.linalg.svd(np.cov((x - mean).T).reshape(d, d))[0] if len(x) >= 2 * d else np.eye(d)
-        need = self.bits * self.tables
-        turns = [axes @ learn_rotation((x - mean) @ axes, seed) for seed in range(-(-need // d))]
-        return mean, np.concatenate(turns, axis=1)[:, :need]
+        need = bits * tables
+        # Around the origin, rotations stay random: learned ones put a common direction into every bit, and most rows would collide.
+        rounds = ITERATIONS if mean.any() else 0
+        turns = [axes @ learn_rotation((x - mean) @ axes, seed, rounds) for seed in range(-(-need // d))]
+        return mean, np.concatenate(turns, axis=1)[:, :need], bits, tables
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         d = x.shape[1]
         if d not in self.models:
             self.models[d] = self._model(d, np.zeros((0, d)))
-        mean, turns = self.models[d]
-        on = ((x - mean) @ turns >= 0).reshape(len(x), self.tables, self.bits)
-        return on @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
+        mean, turns, bits, tables = self.models[d]
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+        # In parts, so that the signs of many tables do not fill the memory.
+        step = max(1, (1 << 21) // turns.shape[1])
+        parts = [((x[i : i + step] - mean) @ turns >= 0).reshape(-1, tables, bits) @ weights for i in range(0, len(x), step)]
+        return np.concatenate(parts)
 
 
 def usable(vectors: DataFrame, vec: str, id_col: str, label: str) -> DataFrame:
@@ -86,15 +133,12 @@ def usable(vectors: DataFrame, vec: str, id_col: str, label: str) -> DataFrame:
 
 
 def _learn(rows: DataFrame, n: int, threshold: float, sample: int) -> Codes:
-    p = 1.0 - math.acos(threshold) / math.pi
-    bits = min(max(16, math.ceil(math.log2(max(n, 2)))), 48)
-    tables = math.ceil(math.log(MISS) / math.log(1.0 - p**bits))
     rate = min(1.0, sample / max(n, 1))
     taken = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) + 1)).select("unit").toPandas()["unit"]
     by: dict[int, list] = {}
     for v in taken:
         by.setdefault(len(v), []).append(v)
-    return Codes(bits, tables, {d: np.array(x) for d, x in by.items()}).fit()
+    return Codes(n, threshold, {d: np.array(x) for d, x in by.items()})
 
 
 def _paired(rows: DataFrame, group: str, size: str, cosine: float, total: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

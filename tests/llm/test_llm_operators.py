@@ -225,6 +225,23 @@ def test_embedding_recall(spark):
     assert found >= 0.9 * every
 
 
+@pytest.mark.parametrize(("common", "n"), [(0.0, 4500), (0.7, 4500), (0.8, 4500), (0.8, 1 << 22)])
+def test_embedding_recall_with_a_common_direction(spark, common, n):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((3000, 64))
+    x[:, 0] = 0
+    x *= np.sqrt(1 - common) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(common)
+    base, y = x[:1500], rng.standard_normal((1500, 64))
+    y -= (y * base).sum(axis=1, keepdims=True) * base
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.93, 0.96, (1500, 1))
+    near = c * base + np.sqrt(1 - c * c) * y
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))], "vec_id long, unit array<double>")
+    codes = embedding_dedup._learn(rows, n, 0.93, n)
+    assert (codes.keys(base) == codes.keys(near)).any(axis=1).mean() >= 0.97
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
