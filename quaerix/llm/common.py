@@ -1,9 +1,10 @@
 """Helpers that the training-data operators share.
 
 `materialize` cuts lineage with a Parquet table in the shared folder that the
-session names in ``spark.checkpoint.dir``; `join_keyed` joins many rows to one
+session names in ``spark.checkpoint.dir``; `join_keyed` and `look_up` join many rows to one
 row per key without sending a hot key to one task; `connected_components`
-contracts a graph by rounds, never on the driver.
+contracts a graph by rounds, never on the driver; `pivoted` and `core_blocks` compare large groups.
+Rows travel to Python as Arrow batches, never as pandas frames with ids: a null would turn a column of longs into floats.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +24,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the driver and all executors.
+    """The folder shared by the driver and all executors: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set if the master is this machine; a
+    cluster without a shared folder is an error, since executors would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quaerix_")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -47,23 +50,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def clear_scratch() -> None:
+    """Remove the tables that `materialize` wrote, once no result is read any more; at exit this happens by itself."""
+    while _SCRATCH:
+        _remove(*_SCRATCH.pop())
+
+
+atexit.register(clear_scratch)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write *df* to the shared folder and read it back: a table that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaerix/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _SCRATCH.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """A materialised *df* and its number of rows."""
-    out = materialize(df, "sized")
-    return out, out.count()
-
-
 #: A key that holds more than one row in HOT_SHARE is joined by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1000
+#: A table of narrow rows up to this size may meet in one task without harm: its keys are not counted.
+FEW = 1 << 18
 
 
 def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
@@ -81,59 +92,96 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: i
     return rows.join(F.broadcast(hot), key, "inner").unionByName(cold_rows.join(rest, key, how), allowMissingColumns=True)
 
 
-#: Up to so many ids are broadcast to leave rows out (8 bytes each); more are joined by a shuffle.
-MAX_IDS = 1 << 20
+def look_up(rows: DataFrame, keyed: DataFrame, key: str, n: int, few: int = FEW) -> DataFrame:
+    """*rows* (n of them, materialised) left-joined to *keyed*, which has one row per *key*; hot keys are counted and broadcast."""
+    if n <= few:
+        return rows.join(keyed, key, "left")
+    heat = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(n // HOT_SHARE, 1)).select(key)
+    hot = materialize(heat.join(keyed, key, "left"), "hot")
+    names = hot.select(F.col(key).alias("_hot"))
+    cold = rows.join(F.broadcast(names), F.col(key) == F.col("_hot"), "left_anti").join(keyed, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of *docs* whose id is not in *ids* (one column, materialised); rows with a null id stay."""
-    ids = ids.toDF("_out")
-    side = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
-    return docs.join(side, docs[id_col] == side["_out"], "left_anti")
+#: Up to so many (id, hash) pairs are broadcast to leave rows out; more are joined by a shuffle.
+MAX_IDS = 1 << 19
 
 
 def sha_text(col: Column) -> Column:
-    """Lowercase hex SHA-256 of a text's UTF-8 bytes; null counts as empty."""
-    return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
+    """SHA-256 of a text's UTF-8 bytes, as binary; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256))
+
+
+def drop_rows(docs: DataFrame, losers: DataFrame, repeats: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of *docs*, with all their columns, whose (id, text) is not in *losers*; of those in *repeats* one row each.
+
+    losers, repeats: doc_id, sha (see `sha_text`), materialised. A null id equals a null id.
+    Only rows in *repeats* are grouped, and they are pre-aggregated where they are read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), sha_text(F.col(text)).alias("_sha"), F.struct("*").alias("_row"))
+    same = lambda side: F.col("_id").eqNullSafe(side["_i"]) & (F.col("_sha") == side["_s"])
+
+    def sided(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.col("doc_id").alias("_i"), F.col("sha").alias("_s"))
+        return F.broadcast(pairs) if pairs.count() <= MAX_IDS else pairs
+
+    if not losers.isEmpty():
+        side = sided(losers)
+        rows = rows.join(side, same(side), "left_anti")
+    if repeats.isEmpty():
+        return rows.select("_row.*")
+    side = sided(repeats)
+    many = rows.join(side, same(side), "left_semi").groupBy("_id", "_sha").agg(F.first("_row").alias("_row"))
+    return rows.join(side, same(side), "left_anti").select("_row.*").unionByName(many.select("_row.*"))
+
 
+def _hop(low: DataFrame, n: int, few: int) -> DataFrame:
+    up = low.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+    return look_up(low.select("node", "parent"), up, "parent", n, few).select("node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
 
-def _to_ends(low: DataFrame, max_rounds: int) -> DataFrame:
-    """Pointers (node, parent) of a forest moved to its roots: each step spans four times as far as the one before."""
-    far = lambda x: x.join(x.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
+
+def _to_ends(low: DataFrame, n: int, max_rounds: int, few: int) -> DataFrame:
+    """Pointers (node, parent) of a forest moved to its roots: every step doubles what a pointer spans, twice in small tables."""
     for _ in range(max_rounds):
-        low = materialize(far(far(low).select("node", "parent")), "ccp")
+        low = _hop(low, n, few)
+        low = materialize(_hop(low, n, few) if n <= few else low, "ccp")
         if low.filter("moved").isEmpty():
             return low.select("node", "parent")
         low = low.select("node", "parent")
     raise RuntimeError("pointers did not end; raise max_rounds")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 64, few: int = FEW) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) longs; component is the smallest node.
 
     Each round points every node at its smallest neighbour if that is smaller, doubles
     the pointers until all reach the ends of their chains, and relabels the edges by them; edges inside a
     component vanish, and only nodes without a smaller neighbour are left for the next round.
-    Every table lives in the shared folder; only counts reach the driver.
+    A node that many others point at (the hub of a giant component) is a hot key, which `look_up` broadcasts.
+    Every table lives in the shared folder; only counts reach the driver. Edges with a null end do not count.
     Empty edges give an empty table. Self-loops make a node its own component.
     """
-    live = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "cc")
+    live = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null")
+    live = materialize(live.distinct(), "cc")
     nodes = materialize(live.select(F.col("a").alias("node")).union(live.select("b")).distinct(), "ccn")
+    n_nodes = nodes.count()
     levels: list[DataFrame] = []
     live = live.filter("a <> b")
     for _ in range(max_rounds):
-        if live.isEmpty():
+        n = live.count()
+        if not n:
             break
         low = (
             live.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent"))
             .groupBy("node").agg(F.min("parent").alias("parent"))
         )
-        low = _to_ends(materialize(low, "ccp"), max_rounds)
+        low = _to_ends(materialize(low, "ccp"), n, max_rounds, few)
         levels.append(low)
         to = lambda c: low.select(F.col("node").alias(c), F.col("parent").alias(f"{c}2"))
+        half = look_up(live, to("a"), "a", n, few)
+        half = look_up(half if n <= few else materialize(half, "cc"), to("b"), "b", n, few)
         live = (
-            live.join(to("a"), "a", "left").join(to("b"), "b", "left")
-            .select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
+            half.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
             .filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
         live = materialize(live, "cc")
@@ -142,7 +190,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     out = nodes.select("node", F.col("node").alias("component"))
     for low in levels:
         hop = low.select(F.col("node").alias("component"), F.col("parent").alias("_to"))
-        out = out.join(hop, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        out = look_up(out, hop, "component", n_nodes, few).select("node", F.coalesce("_to", "component").alias("component"))
+        out = out if n_nodes <= few else materialize(out, "cco")
     return out
 
 
@@ -150,26 +199,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of equal *keys* in sorted batches, one frame each; a group may span batches."""
-    held: list[pd.DataFrame] = []
+def record(schema: str, *columns) -> pa.RecordBatch:
+    """A record batch of *columns* (Arrow arrays, numpy arrays or lists) with the names and types of a DDL *schema*."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal *keys* (longs, not null) in sorted batches, one table each; a group may span batches."""
+    held: list[pa.RecordBatch] = []
     last = None
-    for pdf in batches:
-        if not len(pdf):
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        k = pdf[keys]
-        edge = np.flatnonzero((k.values[1:] != k.values[:-1]).any(axis=1)) + 1
-        ends = [*edge.tolist(), len(pdf)]
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], axis=1)
+        edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         start = 0
-        for end in ends:
-            now = tuple(k.iloc[start].tolist())
+        for end in [*edge.tolist(), len(k)]:
+            now = tuple(k[start].tolist())
             if held and now != last:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            held.append(pdf.iloc[start:end])
+            held.append(batch.slice(start, end - start))
             last, start = now, end
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def values(group: pa.Table, name: str) -> np.ndarray:
+    return group.column(name).to_numpy()
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
@@ -182,8 +242,44 @@ def in_blocks(rows: DataFrame, group: str, size: str, member: str, block: int) -
     return rows.withColumn("_i", F.least("_side", "_o")).withColumn("_j", F.greatest("_side", "_o")).drop("_o", "_s")
 
 
-def forest(n: int, linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with boolean adjacency *linked* (n by n, symmetric)."""
+def core_blocks(rows: DataFrame, group: str, member: str, total: int, block: int) -> DataFrame:
+    """Add _i, _j, _side to rows of large groups, of which those with _in are known to be linked among themselves.
+
+    Parts of the rows that are not _in meet every part; parts of _in rows meet only the former. A group whose
+    rows are all _in gives no blocks: its work is linear. *rows* is materialised.
+    """
+    counts = rows.groupBy(group).agg(F.count_if("_in").alias("_core"), F.count_if(~F.col("_in")).alias("_out"), F.count("*").alias("_n"))
+    placed = join_keyed(rows, materialize(counts, "cores"), group, "_n", total)
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(block / 2)), F.lit(1)).cast("int")
+    outs = F.when(F.col("_out") > 0, parts("_out")).otherwise(0)
+    spread = F.xxhash64(member, F.lit(3))
+    side = F.when(F.col("_in"), outs + F.pmod(spread, parts("_core"))).otherwise(F.pmod(spread, parts("_out"))).cast("int")
+    met = F.when(F.col("_in"), outs).otherwise(outs + F.when(F.col("_core") > 0, parts("_core")).otherwise(0)).cast("int")
+    blocks = placed.withColumns({"_side": side, "_met": met}).filter("_met > 0").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_met") - 1)))
+    return blocks.withColumn("_i", F.least("_side", "_o")).withColumn("_j", F.greatest("_side", "_o")).drop("_o", "_met", "_core", "_out", "_n")
+
+
+#: Pivots of a large group, about, and rows of one part of it.
+PIVOTS, PART = 16, 2048
+
+
+def pivoted(rows: DataFrame, group: str, size: str, member: str, pivots: int = PIVOTS, part: int = PART) -> DataFrame:
+    """Large groups in parts, with a few members of the group (about *pivots*, chosen by hash) in every part.
+
+    Adds _part and _pivot (1 for the added copies); sorted by group, part and pivots first. Each row is there
+    once and *pivots* rows more in each part: what compares the rows with the pivots does work in proportion to the group.
+    """
+    share = F.lit(float(pivots << 20)) / F.col(size)
+    chosen = rows.filter(F.pmod(F.xxhash64(member, F.lit(7)), F.lit(1 << 20)) < share)
+    parts = F.ceil(F.col(size) / F.lit(part)).cast("int")
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(member, F.lit(5)), parts).cast("int")).withColumn("_pivot", F.lit(0))
+    copies = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_pivot", F.lit(1))
+    both = spread.unionByName(copies)
+    return both.repartition(group, "_part").sortWithinPartitions(group, "_part", F.col("_pivot").desc(), member)
+
+
+def forest(n: int, linked: np.ndarray) -> np.ndarray:
+    """Edges, as rows (from, to), of a spanning forest of the graph with boolean adjacency *linked* (n by n, symmetric)."""
     left = np.ones(n, dtype=bool)
     out = []
     for root in range(n):
@@ -197,4 +293,4 @@ def forest(n: int, linked: np.ndarray) -> list[tuple[int, int]]:
             left[new] = False
             out += [(at, x) for x in new.tolist()]
             queue += new.tolist()
-    return out
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
