@@ -14,15 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaerix.llm.common import record
+
 #: Hash buckets of the n-grams of each n.
 WIDTHS = (2048, 8192, 16384)
 OFFSETS = (0, 2048, 10240)
 DIMENSIONS = 26624
-#: Labelled texts of each language that are learned from, about, and landmarks in all.
+#: Labelled texts that are learned from: of each language, about, and in all, at most; languages, the most frequent ones; and landmarks.
 PER_LANGUAGE = 400
+SAMPLE = 8000
+LANGUAGES = 500
 LANDMARKS = 192
 RIDGE = 1e-3
 #: Texts scored at once, and characters whose n-grams are hashed at once.
@@ -75,10 +80,10 @@ def normalised(flags: np.ndarray) -> np.ndarray:
 
 
 class Classifier:
-    """Weights by n-gram and language; no languages if nothing was learned."""
+    """Weights by n-gram and language; no languages if nothing was learned. *landmarks* are the numbers of the texts that were landmarks."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray) -> None:
-        self.languages, self.weights, self.bias = languages, weights, bias
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, landmarks: tuple[int, ...] = ()) -> None:
+        self.languages, self.weights, self.bias, self.landmarks = languages, weights, bias, landmarks
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and a score from 0 to 1: half of one plus the winner's margin form, clipped."""
@@ -105,7 +110,8 @@ def train(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
     # Landmarks by turns over the languages, so that a rare one has as many.
     turn = {a: 0 for a in languages}
     order = sorted(range(len(labels)), key=lambda i: (turn.__setitem__(labels[i], turn[labels[i]] + 1) or turn[labels[i]], labels[i]))
-    marks = x[order[:landmarks]]
+    chosen = tuple(order[:landmarks])
+    marks = x[list(chosen)]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors * np.where(values > 1e-8, 1.0 / np.sqrt(np.maximum(values, 1e-8)), 0.0)
     z = (x @ marks.T).astype(np.float64) @ root
@@ -114,58 +120,87 @@ def train(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
     mean, mean_y = np.average(z, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     zc = z - mean
     fit = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * len(labels) * np.eye(z.shape[1]), (zc * weight[:, None]).T @ (y - mean_y))
-    return Classifier(languages, (marks.T.astype(np.float64) @ (root @ fit)).astype(np.float32), mean_y - mean @ fit)
+    return Classifier(languages, (marks.T.astype(np.float64) @ (root @ fit)).astype(np.float32), mean_y - mean @ fit, chosen)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Classifier:
-    """Learn from about *per_language* texts of each language, whole ones, taken by a hash of the id, none of them held out."""
+def _decoded(batch: pa.RecordBatch) -> list[str]:
+    """Texts travel as bytes, so that invalid UTF-8 is no error; null stays null."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, languages: int = LANGUAGES) -> Classifier:
+    """Learn from about *per_language* whole texts of each of the *languages* most frequent languages, *sample* in all at most.
+
+    They are taken by a hash of the id, none of them held out. Rows that repeat id, language and n-grams count once.
+    """
     pool = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in pool.groupBy(lang).count().collect()}
+    counts = {r["l"]: r["n"] for r in pool.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
     if not counts:
         return train(np.zeros((0, DIMENSIONS), np.uint8), [])
-    rate = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])
+    each = min(per_language, max(sample // len(counts), 1))
+    rate = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    taken = pool.filter(draw < F.element_at(rate, F.col(lang))).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    taken = pool.filter(draw < F.coalesce(F.try_element_at(rate, F.col(lang)), F.lit(0.0)))
+    taken = taken.select(F.col(id_col).cast("long").alias("i"), F.col(lang).alias("l"), F.col(text).cast("binary").alias("text"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bits = [np.packbits(presence([t])[0]).tobytes() for t in pdf["t"]]
-            yield pd.DataFrame({"i": pdf["i"], "l": pdf["l"], "bits": bits})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(presence([t])[0]).tobytes() for t in _decoded(batch)]
+            yield record("i long, l string, bits binary", batch.column("i"), batch.column("l"), bits)
 
-    rows = sorted((r["i"], r["l"], bytes(r["bits"])) for r in taken.mapInPandas(pack, "i long, l string, bits binary").collect())
+    # Hot rows that repeat are one row each task before they are shuffled; the limit is the sample's bound.
+    got = taken.mapInArrow(pack, "i long, l string, bits binary").distinct().orderBy(F.xxhash64("i"), "i", "l", "bits").limit(2 * sample)
+    rows = sorted(((r["i"] is not None, r["i"] or 0), r["l"], bytes(r["bits"])) for r in got.collect())
     flags = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in rows], dtype=np.uint8).reshape(len(rows), DIMENSIONS)
     has = flags[:, : WIDTHS[0]].any(axis=1)
     return train(flags[has], [r[1] for r, k in zip(rows, has, strict=True) if k])
 
 
+RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
+
+
 def predict(docs: DataFrame, model: Classifier, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if nothing was learned.
-    Repeated rows give repeated results, an empty table none; other columns are ignored.
+    A null id stays null and its held_out is null. Repeated rows give repeated results, an empty table none; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for pdf in batches:
-            names, scores = own.predict(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": names, "score": scores})
+        for batch in batches:
+            names, scores = own.predict(_decoded(batch))
+            yield record(RESULT, batch.column("doc_id"), batch.column("held_out"), names, scores)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, RESULT)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
+def keep_identified(docs: DataFrame, model: Classifier, text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of *docs* whose language is identified, with all their columns; a null *lang* is filled with the prediction.
 
-def keep_identified(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """The rows of *docs*, with all their columns, whose text has a language: neither null nor without a letter."""
+    Rejected are texts that are null or have no letter, and those that every one-versus-rest classifier says no to: the
+    winner's score is below *least* (0.5 is a decision value of 0). If nothing was learned, every text with a letter stays.
+    Without a column *lang*, columns stay as they are.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
     def name(texts: pd.Series) -> pd.Series:
-        return pd.Series(shipped.value.predict(texts.tolist())[0])
-
-    return docs.filter(name(F.col(text)) != UNKNOWN)
+        texts = texts.tolist()
+        if not shipped.value.languages:
+            has = presence([t or "" for t in texts])[:, : WIDTHS[0]].any(axis=1) if texts else []
+            return pd.Series(["" if h else None for h in has], dtype=object)
+        names, scores = shipped.value.predict(texts)
+        return pd.Series([n if n != UNKNOWN and s >= least else None for n, s in zip(names, scores, strict=True)], dtype=object)
+
+    rows = docs.select(F.struct("*").alias("_row"), name(F.col(text)).alias("_lang")).filter("_lang is not null")
+    if lang not in docs.columns:
+        return rows.select("_row.*")
+    filled = F.coalesce(F.col("_row")[lang], F.nullif(F.col("_lang"), F.lit("")))
+    return rows.select(*[filled.cast(docs.schema[lang].dataType).alias(lang) if c == lang else F.col("_row")[c].alias(c) for c in docs.columns])
