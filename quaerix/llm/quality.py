@@ -1,7 +1,7 @@
 """Quality classification by supervised subword embeddings.
 
 A document is the average of the vectors of its features, which are hashed into buckets:
-its words, whether a word repeats one of the two before it, and its character n-grams across blanks.
+its words, its pairs of neighbouring words, and its character n-grams across blanks; each kind weighs the same.
 A softmax layer over the average gives the classes. Vectors and layer are learned together
 by stochastic gradient descent in numpy. For scoring, a bucket's vector and the
 layer multiply into one number, so that a text costs one look-up for each feature.
@@ -12,47 +12,70 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaerix.llm.common import record
 from quaerix.llm.langid import held_out
-from quaerix.llm.shingles import BUFFER, mix, word_hashes
+from quaerix.llm.shingles import BUFFER, buffers, mix, word_hashes
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 DIMENSION = 8
-EPOCHS = 8
-RATE = 2.0
+EPOCHS = 12
+RATE = 4.0
 #: Labelled texts of each class that are learned from, about.
-PER_CLASS = 1200
+PER_CLASS = 3000
 THRESHOLD = 0.3
 
 
-def kinds(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind of feature: buckets of all texts' features in order, and where each text's begin and end.
-
-    No feature spans two texts, so that a text's features do not depend on its neighbours.
-    """
-    words, first = word_hashes(texts)
-    yield (words >> np.uint64(48)).astype(np.uint16), first[:-1], first[1:]
-    repeats = np.full(len(words), 7, dtype=np.uint16)
-    at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    repeats[2:][(words[2:] == words[:-2]) & (at[2:] >= 2)] = 12
-    repeats[1:][(words[1:] == words[:-1]) & (at[1:] >= 1)] = 11
-    yield repeats, first[:-1], first[1:]
-    data = [b" " + t.encode("utf-8", "surrogatepass") + b" " for t in texts]
-    buf = np.frombuffer(b"".join(data), dtype=np.uint8)
-    bounds = np.concatenate(([0], np.cumsum([len(d) for d in data])))
-    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    buf = np.where(blank, 32, buf).astype(np.uint32)
-    code = buf
+def _grams(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, buckets of the n-grams that begin at each byte) of bytes whose blanks are 32."""
+    code = buf.astype(np.uint32)
+    wide = code
     for n in range(2, max(GRAMS) + 1):
-        code = code[:-1] * np.uint32(0x01000193) ^ buf[n - 1 :]
+        code = code[:-1] * np.uint32(0x01000193) ^ wide[n - 1 :]
         if n in GRAMS:
             h = code * np.uint32(0x9E3779B1) + np.uint32(n)
             h ^= h >> np.uint32(15)
-            yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16), bounds[:-1], np.maximum(bounds[1:] - (n - 1), bounds[:-1])
+            yield n, ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
+
+
+def _plain(buf: np.ndarray) -> np.ndarray:
+    return np.where((buf == 32) | ((buf >= 9) & (buf <= 13)), np.uint8(32), buf)
+
+
+def _words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words and of the pairs that begin at each word."""
+    pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    return (words >> np.uint64(48)).astype(np.uint16), (pairs >> np.uint64(48)).astype(np.uint16)
+
+
+def kinds(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of feature: buckets of all texts' features in order, and where each text's begin and end.
+
+    The texts fit into a buffer. No feature spans two texts, so that a text's features do not depend on its neighbours.
+    """
+    words, first = word_hashes(data)
+    for found in _words(words):
+        yield found, first[:-1], np.maximum(first[1:] - (len(words) - len(found)), first[:-1])
+    padded = [b" " + d + b" " for d in data]
+    buf = _plain(np.frombuffer(b"".join(padded), dtype=np.uint8))
+    bounds = np.concatenate(([0], np.cumsum([len(d) for d in padded])))
+    for n, found in _grams(buf):
+        yield found, bounds[:-1], np.maximum(bounds[1:] - (n - 1), bounds[:-1])
+
+
+def long_kinds(data: bytes) -> Iterator[list[np.ndarray]]:
+    """What `kinds` gives for one text of any length: for each kind its buckets, in pieces, with the n-grams across their edges."""
+    yield from ([found] for found in _words(word_hashes([data])[0]))
+    pieces: dict[int, list[np.ndarray]] = {n: [] for n in GRAMS}
+    padded = np.frombuffer(b" " + data + b" ", dtype=np.uint8)
+    for at in range(0, len(padded), BUFFER):
+        for n, found in _grams(_plain(padded[at : at + BUFFER + max(GRAMS) - 1])):
+            pieces[n].append(found[: BUFFER if at + BUFFER < len(padded) else None])
+    yield from pieces.values()
 
 
 def means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -66,12 +89,15 @@ def means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+def bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A text's features as distinct buckets and weights that sum to 1 (to 0 for a text without any)."""
-    total = np.zeros(BUCKETS, dtype=np.float64)
-    parts = [buckets[a[0] : b[0]] for buckets, a, b in kinds([text]) if b[0] > a[0]]
-    for own in parts:
-        total += np.bincount(own, minlength=BUCKETS) / (len(own) * len(parts))
+    total, used = np.zeros(BUCKETS, dtype=np.float64), 0
+    for parts in long_kinds(data):
+        n = sum(map(len, parts))
+        if n:
+            total += sum(np.bincount(p, minlength=BUCKETS) for p in parts) / n
+            used += 1
+    total /= max(used, 1)
     at = np.flatnonzero(total)
     return at.astype(np.uint32), total[at].astype(np.float32)
 
@@ -82,21 +108,22 @@ class Model:
     def __init__(self, value: np.ndarray, bias: float) -> None:
         self.value, self.bias = value.astype(np.float32), float(bias)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        out, at = np.zeros(len(texts)), 0
-        whole = [t or "" for t in texts]
-        while at < len(whole):
-            size, end = 0, at
-            while end < len(whole) and (end == at or size + len(whole[end]) <= BUFFER):
-                size += len(whole[end])
-                end += 1
+    def score(self, data: list[bytes]) -> np.ndarray:
+        """The chance of label 1 of UTF-8 texts of any length."""
+        out = np.zeros(len(data))
+        for at, end in buffers(data):
             logit, used = np.zeros(end - at), np.zeros(end - at)
-            for buckets, starts, ends in kinds(whole[at:end]):
-                logit += means(self.value[buckets], starts, ends)
-                used += ends > starts
+            if len(data[at]) >= BUFFER:
+                for parts in long_kinds(data[at]):
+                    n = sum(map(len, parts))
+                    logit += sum(float(self.value[p].sum(dtype=np.float64)) for p in parts) / max(n, 1)
+                    used += n > 0
+            else:
+                for found, starts, ends in kinds(data[at:end]):
+                    logit += means(self.value[found], starts, ends)
+                    used += ends > starts
             logit = logit / np.maximum(used, 1) + self.bias
             out[at:end] = 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
-            at = end
         return out
 
 
@@ -134,22 +161,25 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str =
     Rows weigh so that the classes count as they do among all labels. Labels
     that are null or neither 0 nor 1 are left out; of several labels of an id the largest counts.
     """
-    pool = labels.filter(F.col(target).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max(target).cast("int").alias("y"))
+    pool = labels.filter(F.col(target).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(target).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in pool.groupBy("y").count().collect()}
     if not counts:
         return train([], np.zeros(0, int), np.zeros(0))
     rate = {k: min(1.0, per_class / n) for k, n in counts.items()}
     draw = F.pmod(F.xxhash64("i", F.lit(2)), F.lit(1 << 24)) / F.lit(float(1 << 24))
     taken = pool.filter(draw < F.when(F.col("y") == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0)))
-    # About 2 * per_class rows by the rates above, whatever the table's size.
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(taken), "i")
-
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [bag(t) for t in pdf["t"]]
-            yield pd.DataFrame({"i": pdf["i"], "y": pdf["y"], "at": [a.astype("<u2").tobytes() for a, _ in found], "w": [w.astype("<f4").tobytes() for _, w in found]})
-
-    got = sorted((r["i"], r["y"], bytes(r["at"]), bytes(r["w"])) for r in rows.mapInPandas(bags, "i long, y int, at binary, w binary").collect())
+    # About 2 * per_class ids by the rates above, whatever the table's size.
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).join(F.broadcast(taken), "i")
+    learned = "i long, y int, at binary, w binary"
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bag(t) for t in batch.column("text").to_pylist()]
+            yield record(learned, batch.column("i"), batch.column("y"), [a.astype("<u2").tobytes() for a, _ in found], [w.astype("<f4").tobytes() for _, w in found])
+
+    # Of several rows of an id one is learned from, so that the sample keeps its bound.
+    one = rows.mapInArrow(bags, learned).groupBy("i", "y").agg(F.min(F.struct("at", "w")).alias("b")).select("i", "y", "b.at", "b.w")
+    got = sorted((r["i"], r["y"], bytes(r["at"]), bytes(r["w"])) for r in one.collect())
     y = np.array([g[1] for g in got], dtype=int)
     n = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
     total = sum(counts.values())
@@ -161,15 +191,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     """One row per document: doc_id, held_out, score (the chance of label 1), predicted (1 if score >= *threshold*).
 
     Null text counts as empty; a text without features gets the score of the bias. If nothing was learned all scores are one half.
-    Repeated rows give repeated results, an empty table none; other columns are ignored.
+    A null id stays null and its held_out is null. Repeated rows give repeated results, an empty table none; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    result = "doc_id long, held_out boolean, score double, predicted int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for pdf in batches:
-            s = own.score(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+        for batch in batches:
+            s = own.score(batch.column("text").to_pylist())
+            yield record(result, batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), body).mapInArrow(run, result)
