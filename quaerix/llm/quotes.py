@@ -6,12 +6,13 @@ paragraphs and whole own texts of the messages of the same conversation; the
 earliest message with a unit is its original. A message replies to the latest
 original of its passages of level 1; threads are messages that reply to each other, and a
 conversation in reply order is its threads by their first turn, each in order of turns. Parents precede
-children, so every reply follows what it answers. Quotes are left out of the texts.
+children, so every reply follows what it answers. Quotes are left out of the texts. `conversations` builds
+conversations from the numbered messages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaerix.llm.common import join_keyed, materialize
@@ -45,20 +46,21 @@ def parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
 
 def passages(quoting: DataFrame) -> DataFrame:
-    """(conv, turn, passage, level, unit): for each run of quoted lines of one level its whole text's hash and its lines'."""
-    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("n"), F.array().cast("array<struct<level:int,n:int,body:string>>").alias("done"))
-    step = lambda s, x: F.struct(
-        x["level"].alias("level"), (s["n"] + (s["level"] != x["level"]).cast("int")).alias("n"),
-        F.concat(s["done"], F.array(F.struct(x["level"].alias("level"), (s["n"] + (s["level"] != x["level"]).cast("int")).alias("n"), x["body"].alias("body")))).alias("done"),
-    )
-    numbered = F.filter(F.aggregate("_lines", start, step)["done"], lambda x: x["level"] > 0)
-    lines = quoting.select("conv", "turn", F.posexplode(numbered).alias("at", "l")).select("conv", "turn", "at", "l.*")
-    # A passage is a part of one message: what is gathered here is no larger than the message.
-    runs = lines.groupBy("conv", "turn", "n", "level").agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("x"))
+    """(conv, turn, passage, level, unit, size): for each run of quoted lines of one level its whole text's hash and its lines'.
+
+    *quoting* is materialised. Where a run begins is found by comparing each line with the one before, and
+    a run is a slice of the lines: work in proportion to the message.
+    """
+    level = lambda i: F.get("_lines", i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    begun = quoting.select("conv", "turn", "_lines", starts.alias("_s"))
+    # A generator between the two steps: the starts are found once, not once for each run.
+    runs = begun.select("conv", "turn", "_lines", F.posexplode(F.arrays_zip(F.col("_s").alias("a"), F.concat(F.slice("_s", F.lit(2), F.size("_s")), F.array(F.size("_lines"))).alias("b"))).alias("passage", "r"))
+    runs = runs.filter(level(F.col("r.a")) > 0).select("conv", "turn", "passage", level(F.col("r.a")).alias("level"), F.slice("_lines", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")).alias("x"))
     bodies = F.filter(F.transform("x", lambda s: normal(s["body"])), lambda s: s != "")
     runs = runs.withColumn("b", bodies).filter(F.size("b") > 0)
     units = F.array_distinct(F.concat(F.array(F.concat_ws(" ", "b")), F.col("b")))
-    return runs.select("conv", "turn", F.col("n").alias("passage"), "level", F.explode(F.transform(units, lambda u: F.struct(_hash(u).alias("unit"), F.length(u).alias("size")))).alias("u")).select("conv", "turn", "passage", "level", "u.*")
+    return runs.select("conv", "turn", "passage", "level", F.explode(F.transform(units, lambda u: F.struct(_hash(u).alias("unit"), F.length(u).alias("size")))).alias("u")).select("conv", "turn", "passage", "level", "u.*")
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def originals(messages: DataFrame) -> DataFrame:
 
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv, turn, passage, level, original): original is null for a passage that no earlier message has; of several units the longest found counts."""
-    quoting = messages.filter("_quoted")
+    quoting = materialize(messages.filter("_quoted").select("conv", "turn", "_lines"), "quoting")
     units = materialize(passages(quoting), "units")
     n = units.count()
     convs = units.select("conv").distinct()
@@ -89,13 +91,43 @@ def quote_links(messages: DataFrame) -> DataFrame:
     return every.join(found, ["conv", "turn", "passage", "level"], "left")
 
 
-def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", max_rounds: int = 64) -> DataFrame:
-    """One row per message in reply order: conv_id, turn, role, reply_to, thread, n_passages, n_linked, quote_levels, clean_text.
+#: Messages of a conversation that are numbered in one task, and messages of one part of a built conversation, at most.
+LARGE, MESSAGES = 1 << 17, 1024
+
+
+def _numbered(rows: DataFrame, large: int) -> DataFrame:
+    """Adds position: 1, 2, ... within conv_id by thread and turn; null without a conversation.
+
+    Rows of a conversation with more than *large* messages are sorted into ranges; a range counts its own rows and adds those of the ranges before it.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("thread", "turn", "role", "clean_text")]
+    heat = materialize(rows.filter("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("_m")).filter(F.col("_m") > large).select("conv_id"), "heat")
+    # Fewer than one in *large* rows.
+    names = F.broadcast(heat) if heat.count() <= MAX_BROADCAST else heat
+    few = rows.filter("conv_id is not null").join(names, "conv_id", "left_anti")
+    few = few.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long"))
+    none = rows.filter("conv_id is null").withColumn("position", F.lit(None).cast("long"))
+    out = few.unionByName(none)
+    if heat.isEmpty():
+        return out
+    many = rows.join(names, "conv_id", "left_semi")
+    ranged = materialize(many.repartitionByRange("conv_id", *order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("conv_id", "_pid").agg(F.count("*").alias("_k"))
+    earlier = Window.partitionBy("conv_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("conv_id", "_pid", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_pid", "conv_id").orderBy(*order))
+    numbered = ranged.withColumn("_at", inside).join(ends, ["conv_id", "_pid"]).withColumn("position", F.col("_at") + F.col("_before"))
+    return out.unionByName(numbered.select(out.columns))
+
+
+def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", max_rounds: int = 64, large: int = LARGE) -> DataFrame:
+    """One row per message: conv_id, turn, role, reply_to, thread, position, n_passages, n_linked, quote_levels, clean_text.
 
     reply_to and thread are turns of the same conversation (thread: the first of
-    the replies' chain; the own turn of a message that replies to none).
+    the replies' chain; the own turn of a message that replies to none); position is the message's place in its conversation in reply order.
     Null text counts as empty; a null conversation or turn is linked with
-    nothing. Rows that repeat a turn get the same links; an empty table gives no rows; other columns are ignored.
+    nothing, and a message without a conversation has no position. Rows that repeat a turn get the same links
+    and places of their own; an empty table gives no rows; other columns are ignored.
     """
     rows = messages.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("_text"))
     rows = parsed(rows, "conv", "turn", "_text")
@@ -114,36 +146,71 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         top = joined.select("conv", "turn", F.coalesce("far", "up").alias("up"))
         if joined.filter("far is not null").isEmpty():
             break
-    threads = replies.join(top, ["conv", "turn"], "left")
+    threads = materialize(replies.join(top, ["conv", "turn"], "left"), "replies")
+    # One row for each quoting turn; other messages meet no row.
     out = rows.join(threads, ["conv", "turn"], "left").select(
         F.col("conv").alias("conv_id"), "turn", "role", "reply_to", F.coalesce("up", "turn").alias("thread"),
         F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("quote_levels", F.lit(0)).cast("long").alias("quote_levels"), F.col("clean").alias("clean_text"),
     )
-    return out.orderBy("conv_id", "thread", "turn")
+    return _numbered(out, large).select("conv_id", "turn", "role", "reply_to", "thread", "position", "n_passages", "n_linked", "quote_levels", "clean_text")
 
 
-#: Holds where passages are of whole units of one earlier message, which the general operator also allows in part.
-ORACLE = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+def conversations(linked: DataFrame, most: int = MESSAGES) -> DataFrame:
+    """(conv_id, part, messages) from `link_quotes`: messages in reply order without quotes, as an array of (position, turn, role, text).
+
+    A part has at most *most* messages, so that no conversation is gathered as a whole; messages without a conversation are left out.
+    """
+    message = F.struct("position", "turn", "role", F.col("clean_text").alias("text"))
+    parts = linked.filter("position is not null").withColumn("part", F.floor((F.col("position") - 1) / F.lit(most)).cast("long"))
+    return parts.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+
+
+def quoted_replies(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): the messages of a table as they would be sent by mail.
+
+    By conv_id + turn modulo 3, a message quotes the whole message before it, or the first lines of the two before it at levels 1 and 2, or nothing.
+    """
+    own = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    back = lambda k: own.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"b{k}"))
+    both = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    first = lambda c: F.get(F.split(c, "\n"), F.lit(0))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    whole = F.concat(F.lit("> "), F.replace(F.col("b1"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), "text")
+    nested = F.concat(F.lit(">> "), first("b2"), F.lit("\n> "), first("b1"), F.lit("\n\n"), "text")
+    text = F.when((kind == 1) & F.col("b1").isNotNull(), whole).when((kind == 2) & F.col("b2").isNotNull() & F.col("b1").isNotNull(), nested).otherwise(F.col("text"))
+    return both.select("conv_id", "turn", "role", text.alias("text"))
+
+
+_NORM = r"trim(regexp_replace(lower({}), '[ \t\r\f\x0B]+', ' ', 'g'))"
+#: Of `link_quotes` over `quoted_replies`.
+ORACLE = rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations),
+m AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN (t.conv_id + t.turn) % 3 = 1 AND p.x IS NOT NULL THEN '> ' || replace(p.x, chr(10), chr(10) || '> ') || chr(10) || chr(10) || t.x
+        WHEN (t.conv_id + t.turn) % 3 = 2 AND p.x IS NOT NULL AND g.x IS NOT NULL THEN '>> ' || string_split(g.x, chr(10))[1] || chr(10) || '> ' || string_split(p.x, chr(10))[1] || chr(10) || chr(10) || t.x ELSE t.x END AS t
+      FROM t LEFT JOIN t p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1 LEFT JOIN t g ON g.conv_id = t.conv_id AND g.turn = t.turn - 2),
 l AS (SELECT conv_id, turn, u.pos, length(regexp_replace(regexp_extract(u.x, '^((?:[ \t]?>)+)', 1), '[^>]', '', 'g')) AS level,
              regexp_replace(u.x, '^((?:[ \t]?>)+)[ \t]?', '') AS body
       FROM m, LATERAL (SELECT unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS pos) u),
 q AS (SELECT conv_id, turn, max(level) AS deepest FROM l GROUP BY ALL),
-o AS (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY pos) AS own FROM l WHERE level = 0 GROUP BY ALL),
+o AS (SELECT m.conv_id, m.turn, m.role, m.t, coalesce(q.deepest, 0) AS deepest, CASE WHEN coalesce(q.deepest, 0) > 0
+        THEN regexp_replace(regexp_replace(coalesce(string_agg(l.body, chr(10) ORDER BY l.pos) FILTER (l.level = 0), ''), '^\n+|\n+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') ELSE m.t END AS own
+      FROM m LEFT JOIN q USING (conv_id, turn) LEFT JOIN l USING (conv_id, turn) GROUP BY m.conv_id, m.turn, m.role, m.t, q.deepest),
 r AS (SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n
-      FROM (SELECT *, coalesce(lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS before FROM l)),
-p AS (SELECT conv_id, turn, n, level, string_agg(trim(regexp_replace(lower(body), '[ \t\r\f\x0B]+', ' ', 'g')), ' ' ORDER BY pos) AS unit
-      FROM r WHERE level > 0 AND trim(body) <> '' GROUP BY ALL),
-w AS (SELECT conv_id, min(turn) AS turn, unit FROM (
-        SELECT conv_id, turn, trim(regexp_replace(lower(replace(own, chr(10), ' ')), '[ \t\r\f\x0B]+', ' ', 'g')) AS unit FROM o
-        UNION SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(own, chr(10)))), '[ \t\r\f\x0B]+', ' ', 'g')) FROM o) GROUP BY ALL),
-k AS (SELECT p.conv_id, p.turn, p.level, CASE WHEN w.turn < p.turn THEN w.turn END AS original FROM p LEFT JOIN w ON w.conv_id = p.conv_id AND w.unit = p.unit),
+      FROM (SELECT *, lag(level, 1, -1) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM l)),
+b AS (SELECT conv_id, turn, n, level, pos, {_NORM.format('body')} AS b FROM r WHERE level > 0 AND {_NORM.format('body')} <> ''),
+u AS (SELECT conv_id, turn, n, level, string_agg(b, ' ' ORDER BY pos) AS unit FROM b GROUP BY ALL UNION SELECT conv_id, turn, n, level, b FROM b),
+w AS (SELECT conv_id, min(turn) AS original, unit FROM (
+        SELECT conv_id, turn, {_NORM.format("replace(own, chr(10), ' ')")} AS unit FROM o
+        UNION SELECT conv_id, turn, {_NORM.format('unnest(string_split(own, chr(10)))')} FROM o
+        UNION SELECT conv_id, turn, {_NORM.format("replace(unnest(regexp_split_to_array(own, '\n[ \t]*\n')), chr(10), ' ')")} FROM o) GROUP BY ALL),
+k AS (SELECT u.conv_id, u.turn, u.n, any_value(u.level) AS level, arg_max(w.original, length(u.unit) * 1000000000 + w.original) FILTER (w.original < u.turn) AS original
+      FROM u LEFT JOIN w ON w.conv_id = u.conv_id AND w.unit = u.unit GROUP BY ALL),
 f AS (SELECT conv_id, turn, max(CASE WHEN level = 1 THEN original END) AS reply_to, count(*) AS n_passages, count(original) AS n_linked FROM k GROUP BY ALL),
 c AS (SELECT conv_id, turn, reply_to AS up FROM f WHERE reply_to IS NOT NULL
-      UNION SELECT c.conv_id, c.turn, f.reply_to FROM c JOIN f ON f.conv_id = c.conv_id AND f.turn = c.up WHERE f.reply_to IS NOT NULL)
-SELECT m.conv_id, m.turn, m.role, f.reply_to, coalesce((SELECT min(up) FROM c WHERE c.conv_id = m.conv_id AND c.turn = m.turn), m.turn) AS thread,
-       coalesce(f.n_passages, 0) AS n_passages, coalesce(f.n_linked, 0) AS n_linked, coalesce(q.deepest, 0)::BIGINT AS quote_levels,
-       CASE WHEN coalesce(q.deepest, 0) > 0 THEN regexp_replace(regexp_replace(coalesce(o.own, ''), '^\n+|\n+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') ELSE m.t END AS clean_text
-FROM m LEFT JOIN f USING (conv_id, turn) LEFT JOIN q USING (conv_id, turn) LEFT JOIN o USING (conv_id, turn)
+      UNION SELECT c.conv_id, c.turn, f.reply_to FROM c JOIN f ON f.conv_id = c.conv_id AND f.turn = c.up WHERE f.reply_to IS NOT NULL),
+z AS (SELECT o.conv_id, o.turn, o.role, f.reply_to, coalesce((SELECT min(up) FROM c WHERE c.conv_id = o.conv_id AND c.turn = o.turn), o.turn) AS thread,
+       coalesce(f.n_passages, 0) AS n_passages, coalesce(f.n_linked, 0) AS n_linked, o.deepest::BIGINT AS quote_levels, o.own AS clean_text
+      FROM o LEFT JOIN f USING (conv_id, turn))
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, clean_text) AS position FROM z
 """
