@@ -11,40 +11,48 @@ sequence at most.
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaerix.llm.common import record
+
 CAPACITY = 1024
 #: Cuts of one text after its whole sequences; the piece after the last cut goes to the class that it fits.
 CUTS = 2
 SEPARATOR = 0
 #: Sequences of one task; a task's sequence ids start at its partition's number times this.
 PER_TASK = 1 << 40
+#: Bytes of text that are tokenised at once; a longer text is alone.
+BATCH = 1 << 21
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_CODECS: dict = {}
 
+def tokenizer(vocabulary: str):
+    """The tokenizer of a vocabulary's JSON text; one thread, since Spark's tasks are the threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-def codec(ranks_path: str, pattern: str, specials: tuple = (("<|endoftext|>", 50256),)):
-    """The byte-level BPE of a ranks file, once per worker process.
+    return Tokenizer.from_str(vocabulary)
 
-    It gives the ids that the tokenizers library gives for the same vocabulary
-    (a test compares them), several times as fast.
-    """
-    import tiktoken
 
-    if ranks_path not in _CODECS:
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _CODECS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
-    return _CODECS[ranks_path]
+def encoded(own, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text and the separator, a bounded number of bytes at a time."""
+    at = 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH):
+            size += len(texts[end])
+            end += 1
+        for e in own.encode_batch_fast(texts[at:end], add_special_tokens=False):
+            yield np.array([*e.ids, SEPARATOR], dtype="<u4")
+        at = end
 
 
 def cut(n: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[int]:
@@ -89,20 +97,24 @@ class Bins:
         return out
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, cuts: int = CUTS, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cuts: int = CUTS, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
+    *vocabulary* is the path of a tokenizer's JSON file on the driver, which sends its contents to the tasks.
     A document is its token ids and then a separator (id 0); null text counts as
     empty, so every row gives a piece. Ids that repeat are documents of their
-    own. Every id lies in one piece; pieces of a sequence follow each other
+    own, and a null id stays null. Every token id lies in one piece; pieces of a sequence follow each other
     from offset 0. Nothing is shuffled: a task packs the rows that it reads and a
     rerun of it gives the same. An empty table gives no rows; other columns are ignored.
     """
+    with open(vocabulary, encoding="utf-8") as f:
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+    schema = SCHEMA + ", ids array<long>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, bins = codec(ranks_path, pattern), Bins(capacity)
+        own, bins = tokenizer(shipped.value), Bins(capacity)
         base, made = TaskContext.get().partitionId() * PER_TASK, 0
 
         def laid(full: list[list[tuple]]) -> list[tuple]:
@@ -116,17 +128,19 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
                 made += 1
             return rows
 
-        names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
-        for pdf in batches:
+        def batched(rows: list[tuple]) -> pa.RecordBatch:
+            return record(schema, *(zip(*rows, strict=True) if rows else [[]] * (7 + with_ids)))
+
+        for batch in batches:
             rows: list[tuple] = []
-            for doc, body in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                ids = np.array(encode.encode(body, allowed_special="all") + [SEPARATOR], dtype="<u4")
+            texts = [b.decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(own, texts), strict=True):
                 at = 0
                 for n in cut(len(ids), capacity, cuts):
                     rows += laid(bins.take((doc, at, n, ids[at : at + n], len(ids))))
                     at += n
-            yield pd.DataFrame(rows, columns=names)
-        yield pd.DataFrame(laid(bins.rest()), columns=names)
+            yield batched(rows)
+        yield batched(laid(bins.rest()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SCHEMA + ", ids array<long>" * with_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, schema)
