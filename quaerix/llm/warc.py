@@ -9,11 +9,12 @@ the validators agree; the 304's permitted headers then replace the response's.
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 RANGE = 1 << 17
 
 RECORD = "record_id long, kind string, url string, ts long, headers map<string,string>, body binary"
+NAMES = [c.split()[0] for c in RECORD.split(", ")]
+ARROW = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary())
 
 
 def canonical(url: Column) -> Column:
@@ -39,6 +42,15 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(query, r"/+(\?|$)", "$1"))
 
 
+def lower_headers(headers: Column) -> Column:
+    """A map by lower-case name. Names that differ in case alone are one field: its distinct values, by the names' order, with
+    commas between them, as for a repeated field (RFC 9110, 5.3). Null values do not count; null headers are none."""
+    entries = F.filter(F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))), lambda e: e["value"].isNotNull())
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    value = lambda n: F.array_join(F.array_distinct(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"])), ", ")
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED, ranges: int | None = None) -> DataFrame:
     """One row per record: record_id, kind, canonical_url, status, refers_to, merged_headers.
 
@@ -47,12 +59,11 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED, ranges: i
     response; for a revisit ``resolved``, ``mismatch`` (etag, else last-modified, differs; weak marks do not count) or
     ``missing``; ``other`` for another kind. Without a validator on both sides
     a response is accepted. Null headers count as none; a null URL or time makes a revisit missing and a response no
-    one's. Repeated rows give repeated results, an empty table none; other columns are ignored.
+    one's. A null record_id sorts first and stays null. Repeated rows give repeated results, an empty table none; other columns are ignored.
     """
     spark = records.sparkSession
-    low = F.map_from_entries(F.array_distinct(F.transform(F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    spark_safe = records.select("record_id", "kind", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), low.alias("headers"))
-    rows = materialize(spark_safe, "records")
+    rows = records.select("record_id", "kind", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), lower_headers(F.col("headers")).alias("headers"))
+    rows = materialize(rows, "records")
     count = rows.count()
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE))
     ranged = rows.repartitionByRange(n, "canonical_url", "ts", "record_id").withColumn("pid", F.spark_partition_id())
@@ -85,36 +96,71 @@ def resolve_revisits(records: DataFrame, permitted: tuple = PERMITTED, ranges: i
     return joined.select("record_id", "kind", "canonical_url", "status", F.when(resolved, F.col("_r.record_id")).alias("refers_to"), merged.alias("merged_headers"))
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; the values of a repeated one with commas between them."""
+    out: dict[str, str] = {}
+    for line in lines:
+        name, mark, value = line.partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if mark:
+            out[name] = f"{out[name]}, {value}" if name in out and value not in out[name].split(", ") else out.get(name, value)
+    return out
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, compressed by record, as a whole, or not at all."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """(headers, block) of each record of a WARC file, compressed by record, as a whole, or not at all; one record is held at a time."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
-        headers: dict[str, str] = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length", "0") or 0))
+        lines = []
+        while line := stream.readline().rstrip(b"\r\n"):
+            lines.append(line.decode("utf-8", "replace"))
+        headers = _fields(lines)
+        length = headers.get("content-length", "")
+        yield headers, stream.read(int(length) if length.isdigit() else 0)
+
+
+def _seconds(date: str | None) -> int | None:
+    try:
+        return None if date is None else int(datetime.datetime.fromisoformat(date.replace("Z", "+00:00")).timestamp())
+    except ValueError:
+        return None
+
+
+#: Records and bytes of bodies that are handed on at once.
+BATCH, BATCH_BYTES = 512, 1 << 24
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD) of the WARC files below *path*; record_id counts within a file, ts is in seconds.
-
-    Files are read through Spark, so any store works. A file is one task, which is what WARC files of about 1 GB are made for."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for i, (h, block) in enumerate(parse_warc(bytes(content))):
+    """Records (RECORD) of the WARC files below *path*; ts is in seconds, null where the date cannot be read.
+
+    record_id is the file's number, in the order of paths, times 2**32 and the record's number in its file: unique, and the same in every run over the
+    same files. Files are read through Spark, so any store works. A file (2 GB at most) is one task and
+    is decompressed as it is read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    # One row for each file, without contents.
+    numbers = files.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    numbers = materialize(numbers, "files")
+    side = F.broadcast(numbers) if numbers.count() <= 1 << 17 else numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                rows, size = [], 0
+                for i, (h, block) in enumerate(parse_warc(content.as_py())):
                     kind = h.get("warc-type", "")
                     head, _, body = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
-                    lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]
-                    ts = pd.Timestamp(h["warc-date"]).timestamp() if "warc-date" in h else None
-                    rows.append((i, kind, h.get("warc-target-uri"), None if ts is None else int(ts), {a.strip(): c.strip() for a, _, c in lines}, body))
-                yield pd.DataFrame(rows, columns=["record_id", "kind", "url", "ts", "headers", "body"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+                    rows.append(((file << 32) + i, kind, h.get("warc-target-uri"), _seconds(h.get("warc-date")), list(_fields(head.decode("latin-1").split("\r\n")[1:]).items()), body))
+                    size += len(body)
+                    if len(rows) >= BATCH or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=NAMES)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=NAMES)
+
+    return files.select("path", "content").join(side, "path").select("file", "content").mapInArrow(run, RECORD)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
