@@ -13,8 +13,7 @@ from quaerix.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup
 from quaerix.llm.common import table
 from quaerix.session import ship
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PATTERN = public_tokenizers.PATTERN
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +35,11 @@ def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return quotes.link_quotes(quotes.quoted_replies(table(spark, sf_dir, "conversations")))
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +66,11 @@ def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_string_kernel_langid, op2_subword_quality, op3_setsketch_dedup, op4_itq_dedup, op5_quote_links, op6_harmonic_packing, op7_warc_revisits, op8_exact_dedup, op9_entropy_mix, op10_secret_scan)
+    f.__name__: _shipped(f)
+    for f in (
+        op1_string_kernel_langid, op2_subword_quality, op3_setsketch_dedup, op4_itq_dedup, op5_quote_links,
+        op6_harmonic_packing, op7_warc_revisits, op8_exact_dedup, op9_entropy_mix, op10_secret_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_quote_links": quotes.ORACLE, "op7_warc_revisits": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
