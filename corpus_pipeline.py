@@ -1,6 +1,6 @@
 """A training-data pipeline: five stages over `documents`, each written as Parquet and read again.
 
-Language ID leaves out documents without an identifiable language; exact and near deduplication
+Language ID leaves out documents without an identifiable language and fills in the language where it is null; exact and near deduplication
 leave one document of each group (the largest and the smallest doc_id); mixing repeats or leaves out
 documents so that sources meet their target weights; packing lays what is left
 into sequences of 1024 tokens.
@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaerix.llm import exact_dedup, langid, mixing, near_dedup, packing
 from quaerix.llm.common import materialize, table
-from quaerix.llm.queries import PATTERN, RANKS
+from quaerix.llm.queries import VOCABULARY
 from quaerix.session import ship
 
 
+#: Documents that every language's classifier rejects by more than half of what separates two languages go. Short clean texts score lower than long ones.
+LEAST_SCORE = 0.25
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return langid.keep_identified(docs, langid.fit(docs))
+    return langid.keep_identified(docs, langid.fit(docs), least=LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, RANKS, PATTERN)
+    return packing.pack(docs, VOCABULARY)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
