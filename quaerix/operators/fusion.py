@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +69,32 @@ def hint_points(path: Column, hints: Column, whole: int, part: int) -> Column:
     return _sum(hints, score)
 
 
+#: What ranking needs to know of a chunk, computed once for each chunk before it meets questions.
+KNOWN = ("_path", "_symbol", "_signature", "_source", "_base", "_stem", "_doc", "_doc_priority", "_tested", "_flags")
+
+
+def known(chunks: DataFrame) -> DataFrame:
+    """Adds KNOWN: lower-case parts of the path and signature, and what does not depend on the question."""
+    path, base = F.col("_path"), F.col("_base")
+    out = chunks.withColumns({"_path": _low("file_path"), "_symbol": _low("symbol_name"), "_signature": _low("signature"), "_doc": is_doc(F.col("file_path"), F.col("language"))})
+    out = out.withColumns({"_source": F.concat_ws(" ", "_path", "_symbol", "_signature"), "_base": F.regexp_extract("_path", r"[^/]*$", 0), "_doc_priority": doc_priority(F.col("file_path"))})
+    tested = path.startswith("tests/") | path.contains("/tests/") | base.startswith("test_") | base.rlike(r"(?:_test\.py|\.(?:test|spec)\.(?:js|ts))$")
+    out = out.withColumns({"_stem": F.regexp_replace("_base", r"\.[^.]*$", ""), "_tested": tested})
+    # Points by intent: fixed values.
+    api = _hit((base == "__init__.py") | F.col("_stem").isin(*vocab.API_STEMS), 4) + _hit(has_any(path, vocab.API_PATHS), 2)
+    code = _hit(~F.col("_doc"), 2) + _hit(F.coalesce("symbol_type", F.lit("")) != "fallback_chunk", 1)
+    error = _hit(has_any(F.col("_source"), vocab.ERROR_WORDS), 3) + _hit(path.contains("test"), 1)
+    setup = _hit(base.isin(*vocab.SETUP_FILES) | has_any(path, vocab.SETUP_PATHS), 3) + _hit(has_any(F.col("_source"), vocab.SETUP_WORDS), 1)
+    docs = F.when(F.col("_doc"), F.col("_doc_priority") + 1).otherwise(0)
+    away = _hit(path.startswith(".agents/") | path.startswith(".opencode/"), -8)
+    flags = F.struct(api.alias("api"), code.alias("code"), error.alias("error"), setup.alias("setup"), docs.alias("docs"), away.alias("away"))
+    return out.withColumn("_flags", flags)
+
+
 def canonical_priority(f: Column) -> Column:
-    """Points of a chunk (file_path, language, symbol_name, symbol_type, signature) for a question's features *f*."""
-    path, symbol, signature = _low("file_path"), _low("symbol_name"), _low("signature")
-    source = F.concat_ws(" ", path, symbol, signature)
-    base = F.regexp_extract(path, r"[^/]*$", 0)
-    stem = F.regexp_replace(base, r"\.[^.]*$", "")
-    doc = is_doc(F.col("file_path"), F.col("language"))
+    """Points of a chunk with KNOWN for a question's features *f*."""
+    path, symbol, signature, base, stem = (F.col(c) for c in ("_path", "_symbol", "_signature", "_base", "_stem"))
+    source, flags, doc = F.col("_source"), F.col("_flags"), F.col("_doc")
     what = lambda *names: f["intent"].isin(*names)
 
     def term(t: Column) -> Column:
@@ -80,41 +103,30 @@ def canonical_priority(f: Column) -> Column:
 
     score = fragment_points(path, f["fragments"], 8) + hint_points(path, f["hints"], 8, 4)
     score += F.least(F.size(F.filter(f["terms"], lambda t: F.contains(source, t))), F.lit(6)) + _sum(f["terms"], term)
-    score += _hit(what("api") & ((base == "__init__.py") | stem.isin(*vocab.API_STEMS)), 4)
-    score += _hit(what("api") & has_any(path, vocab.API_PATHS), 2)
-    score += _hit(what("implementation", "cross_file") & ~doc, 2)
-    score += _hit(what("implementation", "cross_file") & (F.coalesce("symbol_type", F.lit("")) != "fallback_chunk"), 1)
-    tested = path.startswith("tests/") | path.contains("/tests/") | base.startswith("test_") | base.rlike(r"(?:_test\.py|\.(?:test|spec)\.(?:js|ts))$")
-    score += _hit(what("tests") & tested, 5)
-    score += _hit(what("error_handling") & has_any(source, vocab.ERROR_WORDS), 3)
-    score += _hit(what("error_handling") & path.contains("test"), 1)
-    score += _hit(what("setup") & (base.isin(*vocab.SETUP_FILES) | has_any(path, vocab.SETUP_PATHS)), 3)
-    score += _hit(what("setup") & has_any(source, vocab.SETUP_WORDS), 1)
-    score += F.when(what("docs", "overview") & doc, doc_priority(F.col("file_path")) + 1).otherwise(0)
-    score += _hit(doc & what(*vocab.DOC_PENALTY), -3)
-    return score + _hit(path.startswith(".agents/") | path.startswith(".opencode/"), -8)
-
-
-def path_score(f: Column) -> Column:
-    """Points of a chunk by path hints, fragments and code terms; null if it has none."""
-    path = _low("file_path")
-    text = F.concat_ws(" ", path, _low("symbol_name"), _low("signature"), F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 500)))
-    found = F.size(F.filter(f["terms"], lambda t: F.contains(text, t)))
-    score = fragment_points(path, f["fragments"], 12) + hint_points(path, f["hints"], 10, 6) + F.least(found, F.lit(8))
-    asked = (F.size(f["hints"]) > 0) | (F.size(f["terms"]) > 0)
-    return F.when(asked & (score > 0), (score + F.greatest(canonical_priority(f), F.lit(0))).cast("double"))
+    score += F.when(what("api"), flags["api"]).when(what("implementation", "cross_file"), flags["code"]).when(what("tests"), _hit(F.col("_tested"), 5)).when(what("error_handling"), flags["error"]).when(what("setup"), flags["setup"]).when(what("docs", "overview"), flags["docs"]).otherwise(0)
+    return score + _hit(doc & what(*vocab.DOC_PENALTY), -3) + flags["away"]
 
 
 def path_intent_search(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(qid, id, path_score, path_rank): asked has qid, repository and the features f of question and retrieval query."""
-    scored = chunks.join(asked.select("qid", "repository", "f"), "repository").withColumn("path_score", path_score(F.col("f"))).filter("path_score is not null")
+    """(qid, id, path_score, path_rank): asked has qid, repository and the features f of question and retrieval query.
+
+    A chunk is lower-cased and looked at once; a pair costs a few substring tests, and only pairs with a hint, fragment or term are ranked.
+    """
+    f = F.col("f")
+    text = F.concat_ws(" ", "_source", F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 500)))
+    held = known(chunks).withColumn("_text", text).select("repository", "id", "_text", *KNOWN)
+    q = asked.select("qid", "repository", "f").filter((F.size("f.hints") > 0) | (F.size("f.terms") > 0))
+    found = F.least(F.size(F.filter(f["terms"], lambda t: F.contains(F.col("_text"), t))), F.lit(8))
+    points = fragment_points(F.col("_path"), f["fragments"], 12) + hint_points(F.col("_path"), f["hints"], 10, 6) + found
+    pairs = held.join(q, "repository").withColumn("_points", points).filter("_points > 0")
+    scored = pairs.withColumn("path_score", (F.col("_points") + F.greatest(canonical_priority(f), F.lit(0))).cast("double"))
     order = Window.partitionBy("qid").orderBy(F.col("path_score").desc(), "id")
     return scored.select("qid", "id", "path_score").withColumn("path_rank", F.row_number().over(order).cast("long")).filter(F.col("path_rank") <= k)
 
 
 def lexical_rerank_score(query: Column, body: Column) -> Column:
     """The default reranker: the share of the query's distinct code terms that the text has, from 0 to 1. It stands
-    in for a cross-encoder, which has another scale; any pandas UDF of (query, body) can take its place."""
+    in for a cross-encoder, which has another scale; `model_reranker` puts one in its place."""
     from quaerix.functions.text import code_terms
 
     terms = code_terms(query)
@@ -122,6 +134,25 @@ def lexical_rerank_score(query: Column, body: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.filter(terms, lambda t: F.contains(low, t))), F.size(terms)), 6), F.lit(0.0))
 
 
+class PairScorer(Protocol):
+    """A cross-encoder: scores of (query, text) pairs, a batch at a time."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def model_reranker(model: PairScorer, batch: int = 64):
+    """A reranker for `retrieve` from a model, which travels once to each task."""
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, bodies in parts:
+            pairs = list(zip(queries.fillna(""), bodies.fillna(""), strict=True))
+            out = [float(x) for at in range(0, len(pairs), batch) for x in model.score(pairs[at : at + batch])]
+            yield pd.Series(out, index=queries.index, dtype=float)
+
+    return scored
+
+
 def prioritise(rows: DataFrame, k: int) -> DataFrame:
     """Adds position and keeps k of each question: rows have the chunk's fields, scores, question, query and f of both in lower case.
 
@@ -132,7 +163,7 @@ def prioritise(rows: DataFrame, k: int) -> DataFrame:
     about = intent(F.col("question"))
     docs = is_documentation(both) & about.isin("docs", "overview")
     overview = is_overview(F.col("question")) | is_overview(F.col("query"))
-    keys = rows.withColumns({
+    keys = known(rows).withColumns({
         "_k1": canonical_priority(F.col("f")), "_k2": F.coalesce("path_score", F.lit(0.0)), "_k3": doc_priority(F.col("file_path")),
         "_k4": _hit(overview & doc, 1), "_k5": _hit(docs == doc, 1), "_k6": _hit(has_any(both, vocab.WANTS_CODE) & ~doc, 1),
         "_k7": _hit(about.isin(*vocab.CODE_FIRST) & ~doc, 1), "_k8": F.coalesce("rerank_score", F.lit(0.0)),
@@ -141,7 +172,7 @@ def prioritise(rows: DataFrame, k: int) -> DataFrame:
     })
     order = Window.partitionBy("qid").orderBy("_last", *[F.col(f"_k{i}").desc() for i in range(1, 11)], "merged_rank")
     out = keys.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= k)
-    return out.drop("_last", *[f"_k{i}" for i in range(1, 11)])
+    return out.drop("_last", *KNOWN, *[f"_k{i}" for i in range(1, 11)])
 
 
 def cap_per_file(rows: DataFrame, k: int) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Okapi BM25 over a postings table, for many questions at once.
+"""Okapi BM25 over stored postings, for many questions at once.
 
-Terms are counted once; a question's terms meet postings by a join on (repository,
+An index holds postings, the terms' idf, document lengths and sizes of repositories; it is built once, by one reading of the texts, and
+written by repository. A question's terms meet postings by a join on (repository,
 term), and scores are one aggregation. Documents that match nothing score zero and are part of the result, so
 the first ``2k`` of a repository stand by to fill a list of fewer than k matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaerix.functions.text import tokens
@@ -34,8 +37,8 @@ def token_table(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(repository, term, id, tf)."""
-    return token_table(chunks).select("repository", "id", F.explode("tokens").alias("term")).groupBy("repository", "term", "id").agg(F.count("*").alias("tf"))
+    """(repository, term, id, dl, tf)."""
+    return token_table(chunks).select("repository", "id", "dl", F.explode("tokens").alias("term")).groupBy("repository", "term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -58,14 +61,65 @@ def raw_idf(n: Column, df: Column) -> Column:
 
 def idf_table(terms: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(repository, term, df, idf): a negative idf is replaced by epsilon times the mean over the vocabulary."""
-    # Both tables have a row for each repository: these are counted once, and without reading texts.
+    # Both tables have a row for each repository: these are counted once.
     hint = F.broadcast if fits(corpus.select("repository")) else (lambda df: df)
     raw = terms.join(hint(corpus.select("repository", "n")), "repository").withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = raw.groupBy("repository").agg(F.avg("raw").alias("mean"))
     return raw.join(hint(mean), "repository").select("repository", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: float = B, posted: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings (repository, term, id, dl, tf), terms (repository, term, df, idf), docs (repository, id, dl), corpus (repository, n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    corpus: DataFrame
+
+
+TABLES = ("docs", "corpus", "postings", "terms")
+
+
+def write_index(chunks: DataFrame, path: str) -> Index:
+    """Index *chunks* (repository, id, searchable_text) below *path*; repositories that it has already are replaced.
+
+    Texts are read once, for document lengths and postings; terms and sizes come from those tables.
+    """
+    spark = chunks.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository").parquet(f"{path}/{name}")
+        return df
+
+    # Empty documents have a length but no posting: lengths are a table of their own.
+    posted = postings(chunks)
+    kept(posted.repartition("repository", F.pmod(F.xxhash64("term"), F.lit(8))), "postings")
+    kept(doc_stats(chunks).repartition("repository"), "docs")
+    here = chunks.select("repository").distinct()
+    read = lambda name: read_table(spark, path, name, chunks).join(small(here), "repository", "left_semi")
+    kept(corpus_stats(read("docs")), "corpus")
+    kept(idf_table(term_stats(read("postings")), read("corpus")).repartition("repository"), "terms")
+    return read_index(spark, path, chunks)
+
+
+def read_table(spark: SparkSession, path: str, name: str, like: DataFrame) -> DataFrame:
+    """A table of the index, with the repository's type as in *like* (a folder's name has no type)."""
+    return spark.read.parquet(f"{path}/{name}").withColumn("repository", F.col("repository").cast(like.schema["repository"].dataType))
+
+
+def read_index(spark: SparkSession, path: str, like: DataFrame) -> Index:
+    return Index(**{name: read_table(spark, path, name, like) for name in TABLES})
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """The tables of an index as plans over *chunks*, for few texts that are asked once."""
+    posted, docs = postings(chunks), doc_stats(chunks)
+    corpus = corpus_stats(docs)
+    return Index(posted, idf_table(term_stats(posted), corpus), docs, corpus)
+
+
+def search(index: Index, questions: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, repository, id, bm25_score, bm25_rank): the k best of each question's repository.
 
     questions: qid, repository, query. Scores are rounded to 6 places before
@@ -74,26 +128,19 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: flo
     asked = questions.select("qid", "repository", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "repository", "term").agg(F.count("*").alias("times"))
     # What is joined below has at most a row for each asked term: its size is counted here, once.
     hint = F.broadcast if fits(asked) else (lambda df: df)
-    asked = hint(asked)
-    held = token_table(chunks)
-    docs = held.select("repository", "id", "dl")
-    corpus = corpus_stats(docs)
-    if posted is None:
-        terms = held.select("repository", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("repository", "term").agg(F.count("*").alias("df"))
-        # Asked terms alone are counted by document, in the task that reads its text; no other posting is shuffled.
-        words = hint(asked.select("repository", "term").distinct())
-        counted = held.select("repository", "id", "dl", F.explode("tokens").alias("term")).join(words, ["repository", "term"], "left_semi")
-        counted = counted.groupBy("repository", "term", "id", "dl").agg(F.count("*").alias("tf"))
-    else:
-        terms = term_stats(posted)
-        counted = posted.join(docs, ["repository", "id"])
-    weights = idf_table(terms, corpus).join(asked, ["repository", "term"])
-    sized = counted.join(hint(weights), ["repository", "term"]).join(small(corpus.select("repository", "avgdl")), "repository")
+    weights = index.terms.join(hint(asked), ["repository", "term"]).join(small(index.corpus.select("repository", "avgdl")), "repository")
+    sized = index.postings.join(hint(weights.select("qid", "repository", "term", "times", "idf", "avgdl")), ["repository", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = sized.groupBy("qid", "repository", "id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
     first = Window.partitionBy("repository").orderBy("id")
-    spare = docs.select("repository", "id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 * k).drop("_n")
-    spare = spare.join(small(questions.select("qid", "repository").join(asked.select("qid").distinct(), "qid")), "repository").select("qid", "repository", "id", F.lit(0.0).alias("bm25_score"))
+    # A task keeps 2k rows of a repository before they are shuffled.
+    spare = index.docs.select("repository", "id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 * k).drop("_n")
+    spare = spare.join(hint(asked.select("qid", "repository").distinct()), "repository").select("qid", "repository", "id", F.lit(0.0).alias("bm25_score"))
     every = scored.unionByName(spare).groupBy("qid", "repository", "id").agg(F.max_by("bm25_score", F.abs("bm25_score")).alias("bm25_score"))
     order = Window.partitionBy("qid").orderBy(F.col("bm25_score").desc(), "id")
     return every.withColumn("bm25_rank", F.row_number().over(order).cast("long")).filter(F.col("bm25_rank") <= k)
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """`search` over chunks without a stored index."""
+    return search(build_index(chunks), questions, k, k1, b)

@@ -26,6 +26,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: ``spark.checkpoint.dir``; on a single machine without it, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get() if held.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="quaerix_")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     return (
