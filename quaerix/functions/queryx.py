@@ -104,9 +104,11 @@ def format_history(history: DataFrame, key: str = "qid", last: int = 4, width: i
     return got.select(key, F.when(text == "", "None").otherwise(text).alias("history"))
 
 
-def history_window(history: DataFrame, key: str = "qid", last: int = 6) -> DataFrame:
-    """The last turns by user or assistant that are not blank."""
+def history_window(history: DataFrame, key: str = "qid", last: int = 6, answered: str | None = None) -> DataFrame:
+    """The last turns by user or assistant that are not blank; of the assistant's only those that the boolean column *answered* marks, if there is one."""
     kept = history.filter(F.col("role").isin("user", "assistant") & (strip(F.coalesce("text", F.lit(""))) != ""))
+    if answered is not None:
+        kept = kept.filter((F.col("role") == "user") | F.coalesce(F.col(answered), F.lit(False)))
     order = Window.partitionBy(key).orderBy(F.col("turn").desc())
     return kept.withColumn("back", F.row_number().over(order).cast("long")).filter(F.col("back") <= last)
 

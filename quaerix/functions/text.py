@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaerix.functions import vocab
 
+# Patterns on which tokens, terms and fragments depend.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_./:-]*"
 CODE_TERM = r"[A-Za-z_][A-Za-z0-9_]*(?:[./-][A-Za-z_][A-Za-z0-9_]*)*"
 FRAGMENT = r"[A-Za-z0-9_./-]+(?:\.[A-Za-z0-9_./-]+|/[A-Za-z0-9_./-]+)"

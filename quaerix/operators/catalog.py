@@ -38,6 +38,27 @@ def get(catalog: DataFrame, repository: int, session: str) -> DataFrame:
     return catalog.filter((F.col("id") == repository) & (F.col("session_key") == session))
 
 
+class NotFound(ValueError):
+    """There is no such repository in this session."""
+
+
+class Cancelled(RuntimeError):
+    """The session ended while its repository was indexed."""
+
+
+def status_of(error: Exception) -> tuple[int, dict[str, str]]:
+    """The HTTP status and headers that a service answers an error with: 404 and 400 for what was asked wrongly, 429 for a busy model, else 500."""
+    from quaerix.operators.answer import Busy
+
+    if isinstance(error, NotFound):
+        return 404, {}
+    if isinstance(error, ValueError):
+        return 400, {}
+    if isinstance(error, Busy):
+        return 429, {"Retry-After": str(int(error.after if error.after is not None else 30))}
+    return 500, {}
+
+
 def touch(catalog: DataFrame, session: Column, now: Column, minutes: int = TTL_MINUTES) -> DataFrame:
     return catalog.withColumn("session_expires_at", F.when(F.col("session_key") == session, expiry(now, minutes)).otherwise(F.col("session_expires_at")))
 
@@ -62,8 +83,9 @@ def end_session(catalog: DataFrame, session: Column) -> tuple[DataFrame, DataFra
     return catalog.filter(~mine), catalog.filter(mine)
 
 
-def wiped(catalog: DataFrame) -> DataFrame:
-    return catalog.limit(0)
+def wiped(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes) when everything is forgotten, as at a fresh start."""
+    return catalog.limit(0), catalog
 
 
 def progress(updates: DataFrame) -> DataFrame:
@@ -82,7 +104,7 @@ def serialised(catalog: DataFrame) -> DataFrame:
 def ask_guard(status: str | None, chunks: int) -> None:
     """Raise ValueError where a question cannot be asked."""
     if status is None:
-        raise ValueError("no such repository in this session")
+        raise NotFound("no such repository in this session")
     if status != "indexed":
         raise ValueError("the repository is not indexed yet")
     if not chunks:

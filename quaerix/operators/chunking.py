@@ -23,23 +23,11 @@ def detect_language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, suffix), F.lit("text"))
 
 
-def line_blocks(files: DataFrame, size: int = 60, text: str = "content", path: str = "file_path") -> DataFrame:
-    """Blocks of *size* lines, as columns only: what `fallback_blocks` gives for text without headings.
-
-    (file columns, line_start, line_end, signature, content)."""
-    body = F.regexp_replace(F.col(text), r"\n$", "")
-    lines = F.split(body, "\n")
-    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int"))
-    cut = F.transform(starts, lambda i: F.struct((i * size + 1).cast("long").alias("line_start"), F.least((i + 1) * size, F.size(lines)).cast("long").alias("line_end"), F.slice(lines, i * size + 1, size).alias("l")))
-    out = files.filter(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")) > 0).withColumn("_b", F.explode(cut))
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    content = strip(F.array_join("_b.l", "\n"))
-    keep = [c for c in files.columns if c != text]
-    return out.select(*keep, "_b.line_start", "_b.line_end", strip(F.get("_b.l", F.lit(0))).alias("signature"), content.alias("content")).filter(F.col("content") != "")
-
-
 def fallback_blocks(source: str, name: str, language: str) -> list[dict]:
-    """Blocks of lines that end with a heading (text) or a definition (code) after more than 8 lines, or at 60 or 80 lines."""
+    """Blocks of lines that end with a heading (text) or a definition (code) after more than 8 lines, or at 60 or 80 lines.
+
+    Lines, of which a block's first is its signature, are parted as `str.splitlines` does.
+    """
     lines, out, first = source.splitlines(), [], 0
 
     def flush(end: int) -> None:
@@ -78,38 +66,87 @@ def _python_symbols(source: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+#: What is a chunk in languages with braces: (kind, head of the declaration, how it ends). Kinds are fixed values. A head stands at the
+#: start of a line, after its modifiers; "block" ends with its braces or a semicolon, "statement" where brackets are closed and the line does not go on.
+_JS_NAME = r"(?P<name>[\w$]+)"
+_JS_METHOD = r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+|\*\s*)*(?!(?:if|for|while|switch|catch|function|return|with|do|else)\b)#?(?P<name>[\w$]+)\s*(?:<[^>]*>)?\([^;]*$"
+_TS = (
+    ("function_declaration", rf"(?:async\s+)?function\s+{_JS_NAME}", "block"), ("class_declaration", rf"class\s+{_JS_NAME}", "block"),
+    ("interface_declaration", rf"interface\s+{_JS_NAME}", "block"), ("type_alias_declaration", rf"type\s+{_JS_NAME}[^=]*=", "statement"),
+    ("lexical_declaration", r"(?:const|let)\s+(?P<name>[\w$]+)?", "statement"), ("method_definition", _JS_METHOD, "block"),
+)
 _HEADS = {
-    "javascript": r"(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\*?\s+(?P<f>\w+)|class\s+(?P<c>\w+)|(?:const|let|var)\s+(?P<v>\w+))",
-    "typescript": r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:async\s+)?function\*?\s+(?P<f>\w+)|(?:abstract\s+)?class\s+(?P<c>\w+)|interface\s+(?P<i>\w+)|type\s+(?P<t>\w+)|(?:const|let|var)\s+(?P<v>\w+))",
-    "java": r"(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*(?:class\s+(?P<c>\w+)|interface\s+(?P<i>\w+)|enum\s+(?P<e>\w+)|record\s+(?P<r>\w+))",
-    "go": r"(?:func\s+(?:\([^)]*\)\s*)?(?P<f>\w+)|type\s+(?P<t>\w+))",
-    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<f>\w+)|struct\s+(?P<s>\w+)|enum\s+(?P<e>\w+)|trait\s+(?P<t>\w+)|impl(?:<[^>]*>)?\s+(?P<m>[\w:]+))",
-}
-_HEADS["tsx"] = _HEADS["typescript"]
-_KINDS = {"f": "function", "c": "class", "v": "variable", "i": "interface", "t": "type", "e": "enum", "r": "record", "s": "struct", "m": "impl"}
-_QUIET = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+    "javascript": (
+        ("function_declaration", rf"(?:async\s+)?function\s+{_JS_NAME}", "block"), ("generator_function_declaration", rf"(?:async\s+)?function\s*\*\s*{_JS_NAME}", "block"),
+        ("class_declaration", rf"class\s+{_JS_NAME}", "block"), ("lexical_declaration", r"(?:const|let)\s+(?P<name>[\w$]+)?", "statement"),
+        ("variable_declaration", r"var\s+(?P<name>[\w$]+)?", "statement"), ("method_definition", _JS_METHOD, "block"),
+    ),
+    "typescript": _TS,
+    "tsx": _TS,
+    "java": (
+        ("class_declaration", r"class\s+(?P<name>\w+)", "block"), ("interface_declaration", r"interface\s+(?P<name>\w+)", "block"), ("enum_declaration", r"enum\s+(?P<name>\w+)", "block"),
+        ("method_declaration", r"(?:<[^>]*>\s*)?(?!(?:return|new|else|throw|record)\b)[\w.<>\[\], ?]+\s+(?P<name>\w+)\s*\([^;]*$", "block"),
+    ),
+    "go": (("method_declaration", r"func\s+\([^)]*\)\s*(?P<name>\w+)", "block"), ("function_declaration", r"func\s+(?P<name>\w+)", "block"), ("type_declaration", r"type\s+\(?\s*(?P<name>\w+)?", "statement")),
+    "rust": (
+        ("function_item", r"(?:(?:async|unsafe|const|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>\w+)", "block"), ("struct_item", r"struct\s+(?P<name>\w+)", "block"),
+        ("enum_item", r"enum\s+(?P<name>\w+)", "block"), ("trait_item", r"(?:unsafe\s+)?trait\s+(?P<name>\w+)", "block"),
+        ("impl_item", r"(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+!?(?:[\w]+::)*(?P<name>\w+)", "block"),
+    ),
+}
+_MODIFIERS = {
+    "javascript": r"(?:export\s+(?:default\s+)?)?", "typescript": r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?", "tsx": r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?",
+    "java": r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|synchronized|native|default|strictfp)\s+)*", "go": "", "rust": r"(?:pub(?:\([^)]*\))?\s+)?",
+}
+_COMPILED = {lang: tuple((kind, re.compile(r"\s*" + _MODIFIERS[lang] + head), end) for kind, head, end in heads) for lang, heads in _HEADS.items()}
+_QUIET = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+#: For Rust, where a quote may begin a lifetime: strings, characters and comments.
+_QUIET_RUST = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])'""", re.S)
+_GOES_ON = re.compile(r"(?:[=,+\-*/%&|?:<(\[{.]|=>)\s*$")
+_CONTINUES = re.compile(r"\s*(?:[.?:+*/%&|,)\]}=]|=>|-(?!-))")
+
+
+def _extent(lines: list[str], first: int, end: str) -> int:
+    """The last line of a declaration that begins on line *first*: by balanced brackets."""
+    depth, opened = 0, False
+    for i in range(first, len(lines)):
+        line = lines[i]
+        depth += sum(line.count(c) for c in "{([") - sum(line.count(c) for c in "})]")
+        opened = opened or "{" in line
+        if depth > 0:
+            continue
+        if line.rstrip().endswith(";") or depth < 0:
+            return i
+        if end == "block" and opened:
+            return i
+        following = next((x for x in lines[i + 1 :] if x.strip()), "")
+        if end == "statement" and not _GOES_ON.search(line) and not (_CONTINUES.match(following) and not following.strip().startswith("}")):
+            return i
+    return len(lines) - 1
 
 
 def _brace_symbols(source: str, language: str) -> list[tuple[str, str, int, int]]:
-    """Top-level declarations by their first words and balanced brackets; strings and comments do not count."""
-    plain = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+    """Declarations of the language's kinds by their heads and balanced brackets; strings and comments do not count.
+
+    What is inside a chunk is no chunk of its own; what is inside anything else may be, also inside a declaration of a single line.
+    """
+    quiet = _QUIET_RUST if language == "rust" else _QUIET
+    plain = quiet.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
     lines, out, i = plain.split("\n"), [], 0
-    head = re.compile(r"^" + _HEADS[language])
     while i < len(lines):
-        m = head.match(lines[i])
-        if not m:
-            i += 1
-            continue
-        depth, opened, end = 0, False, i
-        for end in range(i, len(lines)):
-            depth += sum(lines[end].count(c) for c in "{([") - sum(lines[end].count(c) for c in "})]")
-            opened = opened or "{" in lines[end]
-            if depth <= 0 and (opened or lines[end].rstrip().endswith(";")):
-                break
-        group, name = next((g, v) for g, v in m.groupdict().items() if v)
-        if end > i:
-            out.append((name, f"{_KINDS[group]}_declaration", i + 1, end + 1))
-        i = end + 1
+        hit = next(((kind, m, end) for kind, head, end in _COMPILED[language] if (m := head.match(lines[i]))), None)
+        if hit:
+            kind, m, end = hit
+            last = _extent(lines, i, end)
+            body = "\n".join(lines[i : last + 1])
+            # A call or a heading looks like a method, but has no body.
+            if last > i and (kind not in ("method_definition", "method_declaration") or "{" in body):
+                first = i
+                while language == "java" and first and lines[first - 1].strip().startswith("@"):
+                    first -= 1
+                out.append((m.group("name") or "", kind, first + 1, last + 1))
+                i = last
+        i += 1
     return out
 
 
@@ -171,10 +208,3 @@ def chunk_files(files: DataFrame) -> DataFrame:
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     named = F.when(F.col("parser") == "fallback", F.concat_ws("\n", "file_path", "content")).otherwise(F.concat_ws("\n", "file_path", blank("symbol_name"), blank("signature"), blank("content")))
     return rows.withColumn("searchable_text", named).withColumn("id", F.sha2(F.concat_ws("\x1f", F.col("repository").cast("string"), "file_path", F.col("chunk_ordinal").cast("string")), 256))
-
-
-def chunk_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: (path, language, content) to one row per chunk."""
-    for pdf in batches:
-        rows = [{"file_path": p} | c for p, lang, b in zip(pdf["file_path"], pdf["language"], pdf["content"], strict=True) for c in symbol_blocks(b or "", p.rsplit("/", 1)[-1], lang)]
-        yield pd.DataFrame(rows, columns=["file_path", *[c.split()[0] for c in CHUNK.split(", ")]])

@@ -41,6 +41,44 @@ class HashingEmbedder:
         return out
 
 
+class RemoteEmbedder:
+    """A model behind an HTTP endpoint for embeddings (JSON input in, vectors out), asked again when it is busy.
+
+    Questions and documents may have a prefix each, which some models need.
+    """
+
+    def __init__(self, url: str, model: str, dimension: int, key: str = "", query_prefix: str = "", document_prefix: str = "", timeout: float = 60.0, post=None) -> None:
+        self.url, self.model, self.dimension, self.key = url, model, dimension, key
+        self.query_prefix, self.document_prefix, self.timeout, self.post = query_prefix, document_prefix, timeout, post
+
+    def embed(self, texts: list[str], query: bool = False) -> np.ndarray:
+        from quaerix.operators.answer import post_json, retrying
+
+        if not texts:
+            return np.zeros((0, self.dimension), np.float32)
+        prefix = self.query_prefix if query else self.document_prefix
+        body = {"model": self.model, "input": [prefix + (t or "") for t in texts]}
+        head = {"Authorization": f"Bearer {self.key}"} if self.key else {}
+        said = retrying(lambda: (self.post or post_json)(self.url, body, head, self.timeout))
+        out = np.array([d["embedding"] for d in sorted(said["data"], key=lambda d: d.get("index", 0))], dtype=np.float32)
+        if out.shape != (len(texts), self.dimension):
+            raise ValueError(f"{out.shape} vectors came back for {len(texts)} texts of dimension {self.dimension}")
+        return out
+
+
+def embedder_from(settings: dict) -> Embedder:
+    """The embedder that settings name: ``provider`` is local (the default), remote, or auto: remote if there is a ``url``."""
+    provider = settings.get("provider", "auto")
+    if provider == "auto":
+        provider = "remote" if settings.get("url") else "local"
+    if provider == "local":
+        return HashingEmbedder(int(settings.get("dimension", 64)))
+    if provider == "remote":
+        names = ("url", "model", "dimension", "key", "query_prefix", "document_prefix", "timeout")
+        return RemoteEmbedder(**{k: settings[k] for k in names if k in settings})
+    raise ValueError(f"no such embedding provider: {provider}")
+
+
 def in_batches(embedder: Embedder, texts: list[str], batch: int, query: bool = False) -> np.ndarray:
     """Embed by batches; a batch that does not fit into memory is halved until it does."""
     rows, at = [], 0

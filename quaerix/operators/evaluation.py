@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ ADVICE = (
     ("source_recall", "<", 0.7, "More of the expected files should be found for questions across files."),
     ("duplicate_source_rate", ">", 0.15, "Fewer chunks of one file should reach the answer."),
     ("grounded_answer_rate", "<", 0.75, "Answers should cover more of the checklist and reference."),
+    ("context_precision", "<", 0.7, "Fewer sources that do not bear on the question should reach the answer."),
 )
 
 
@@ -124,17 +129,92 @@ def report(metrics: DataFrame) -> DataFrame:
 def guidance(row: dict) -> dict:
     """The gate and advice for one row of `overall`."""
     ok = all(row[k] is not None and row[k] >= v for k, v in GATES.items())
-    say = [text for k, op, v, text in ADVICE if row[k] is not None and (row[k] < v if op == "<" else row[k] > v)]
+    say = [text for k, op, v, text in ADVICE if row.get(k) is not None and (row[k] < v if op == "<" else row[k] > v)]
     return {"primary_gate": "pass" if ok else "needs_work", "thresholds": GATES, "next_focus": say}
 
 
+#: The figures that a report begins with: name in the report, column, and the gate if it has one.
+HEADLINES = (
+    ("Retrieval hit rate", "retrieval_hit_rate"), ("Top-1 hit rate", "top1_hit_rate"), ("Mean reciprocal rank", "mrr"), ("Source recall", "source_recall"),
+    ("Duplicate source rate", "duplicate_source_rate"), ("Grounded answer rate", "grounded_answer_rate"), ("Keyword pass rate", "keyword_pass_rate"),
+    ("Reference support rate", "reference_support_rate"), ("Faithfulness", "faithfulness"), ("Answer relevancy", "answer_relevancy"), ("Context precision", "context_precision"),
+)
+
+
+def headline(report: DataFrame) -> DataFrame:
+    """(position, metric, value, gate, status): the headline figures of `overall`, one row each; judge metrics where they were measured.
+
+    status: pass or needs_work by the gate, measured without one, absent for a figure that was not measured.
+    """
+    row = [(i + 1, name, c, GATES.get(c)) for i, (name, c) in enumerate(HEADLINES)]
+    have = set(report.columns)
+    made = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(name).alias("metric"), (F.col(c).cast("double") if c in have else F.lit(None).cast("double")).alias("value"), F.lit(g).cast("double").alias("gate")) for i, name, c, g in row])
+    out = report.select(F.explode(made).alias("r")).select("r.*")
+    status = F.when(F.col("value").isNull(), "absent").when(F.col("gate").isNull(), "measured").when(F.col("value") >= F.col("gate"), "pass").otherwise("needs_work")
+    return out.withColumn("status", status)
+
+
 def readiness(row: dict, audit: dict) -> dict:
-    """ready, limited (the set is small or narrow) or not_ready, and a sentence."""
-    gate = guidance(row)["primary_gate"]
-    wide = audit["case_count"] >= 25 and audit["categories"] >= 4
-    status = "not_ready" if gate != "pass" or audit["errors"] else "ready" if wide else "limited"
-    said = f"{audit['case_count']} cases in {audit['categories']} categories: hit rate {row['retrieval_hit_rate']}, top-1 {row['top1_hit_rate']}, reciprocal rank {row['mrr']}."
-    return {"status": status, "summary": said}
+    """ready, limited (the set is small, narrow, or all of one repository) or not_ready, and what that rests on in prose."""
+    advice = guidance(row)
+    wide = audit["case_count"] >= LEAST_CASES and audit["categories"] >= LEAST_CATEGORIES
+    status = "not_ready" if advice["primary_gate"] != "pass" or audit["errors"] else "ready" if wide else "limited"
+    said = [
+        f"{audit['case_count']} cases in {audit['categories']} categories: hit rate {row['retrieval_hit_rate']}, top-1 {row['top1_hit_rate']}, reciprocal rank {row['mrr']}.",
+        {"ready": "All gates are passed.", "limited": "All gates are passed, but the set is too small or narrow to rely on.", "not_ready": f"Errors in the set: {audit['errors']}." if audit["errors"] else "A gate is missed."}[status],
+        *advice["next_focus"],
+    ]
+    return {"status": status, "summary": " ".join(said)}
+
+
+class Judge(Protocol):
+    """A model that judges answers; each figure is from 0 to 1."""
+
+    def judge(self, question: str, answer: str, contexts: list[str], reference: str) -> dict[str, float]:
+        """faithfulness, answer_relevancy and context_precision."""
+
+
+JUDGED = ("faithfulness", "answer_relevancy", "context_precision")
+
+
+def judged(cases: DataFrame, judge: Judge) -> DataFrame:
+    """Adds JUDGED to cases (question, answer, contexts, ground_truth); null where the judge gave no figure. The judge travels once to each task."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for q, a, c, r in parts:
+            out = []
+            for one in zip(q.fillna(""), a.fillna(""), c, r.fillna(""), strict=True):
+                said = judge.judge(one[0], one[1], list(one[2]) if one[2] is not None else [], one[3])
+                out.append([None if said.get(k) is None else float(said[k]) for k in JUDGED])
+            yield pd.Series(out, index=q.index, dtype=object)
+
+    rows = cases.withColumn("_j", run("question", "answer", "contexts", "ground_truth"))
+    return rows.withColumns({k: F.get("_j", F.lit(i)) for i, k in enumerate(JUDGED)}).drop("_j")
+
+
+def judge_summary(rows: DataFrame) -> DataFrame:
+    """One row: the means of JUDGED over the cases that have them, and how many have all."""
+    whole = F.lit(True)
+    for k in JUDGED:
+        whole = whole & F.col(k).isNotNull()
+    return rows.agg(*[F.round(F.avg(k), 4).alias(k) for k in JUDGED], F.count_if(whole).alias("judged_cases"))
+
+
+def run_metadata(spark, **parts) -> DataFrame:
+    """One row (recorded_at, settings): which embedder, reranker, answerer and judge a report was made with; a part is named by its class and its plain attributes, secrets left out."""
+    def described(x) -> str:
+        if x is None or isinstance(x, (str, int, float, bool)):
+            return str(x)
+        shown = {k: v for k, v in sorted(vars(x).items()) if isinstance(v, (str, int, float, bool)) and k not in ("key", "token", "password", "secret")}
+        return type(x).__name__ + ("(" + ", ".join(f"{k}={v}" for k, v in shown.items()) + ")" if shown else "")
+
+    made = F.create_map(*[F.lit(x) for k, v in sorted(parts.items()) for x in (k, described(v))]) if parts else F.create_map().cast("map<string,string>")
+    return spark.range(1).select(F.current_timestamp().alias("recorded_at"), made.alias("settings"))
+
+
+#: A set below these is too small: fixed values.
+LEAST_CASES, LEAST_CATEGORIES, LEAST_CONVERSATIONS, LEAST_OF_CATEGORY, DOMINANT = 25, 4, 2, 2, 0.8
 
 
 def audit_rows(cases: DataFrame) -> DataFrame:
@@ -158,7 +238,7 @@ def audit_set(cases: DataFrame) -> DataFrame:
     """One row on the whole set: sizes, breadth, and the largest share of one id prefix."""
     prefix = F.lower(F.regexp_extract("id", r"^[^-]*", 0))
     top = cases.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).filter("p <> ''").agg(F.max_by("p", F.struct("n", "p")).alias("dominant_prefix"), F.max("n").alias("_n"))
-    sparse = cases.groupBy(F.coalesce("category", F.lit("general")).alias("c")).agg(F.count("*").alias("n")).agg(F.count("*").alias("categories"), F.count_if(F.col("n") < 2).alias("sparse_categories"))
+    sparse = cases.groupBy(F.coalesce("category", F.lit("general")).alias("c")).agg(F.count("*").alias("n")).agg(F.count("*").alias("categories"), F.count_if(F.col("n") < LEAST_OF_CATEGORY).alias("sparse_categories"))
     whole = cases.agg(
         F.count("*").alias("case_count"), F.count_if(F.size(F.coalesce("turns", F.array().cast("array<struct<role:string,content:string>>"))) > 0).alias("conversations"),
         F.round(F.avg(F.size("expected_sources")), 2).alias("average_expected_sources"), F.round(F.avg(F.size(F.coalesce("must_include_any", F.array().cast("array<string>")))), 2).alias("average_keywords"),
@@ -166,4 +246,16 @@ def audit_set(cases: DataFrame) -> DataFrame:
     # Three one-row results.
     out = whole.join(sparse, F.lit(True)).join(top, F.lit(True))
     share = F.round(F.col("_n") / F.col("case_count"), 4)
-    return out.withColumn("dominant_prefix_fraction", share).withColumn("scope", F.when(share >= 0.8, "single_repository").otherwise("mixed_or_unknown")).drop("_n")
+    return out.withColumn("dominant_prefix_fraction", share).withColumn("scope", F.when(share >= DOMINANT, "single_repository").otherwise("mixed_or_unknown")).drop("_n")
+
+
+def audit_warnings(cases: DataFrame) -> DataFrame:
+    """(severity, problem) of the whole set: too few cases, categories, conversations, or cases of a category; ids mostly of one prefix."""
+    one = audit_set(cases)
+    found = lambda flag, text: F.when(flag, F.lit(text))
+    checks = F.array(
+        found(F.col("case_count") < LEAST_CASES, f"fewer than {LEAST_CASES} cases"), found(F.col("categories") < LEAST_CATEGORIES, f"fewer than {LEAST_CATEGORIES} categories"),
+        found(F.col("conversations") < LEAST_CONVERSATIONS, f"fewer than {LEAST_CONVERSATIONS} conversations"), found(F.col("sparse_categories") > 0, f"categories with fewer than {LEAST_OF_CATEGORY} cases"),
+        found(F.col("dominant_prefix_fraction") >= DOMINANT, "most ids have one prefix"),
+    )
+    return one.select(F.lit("warning").alias("severity"), F.explode(F.array_compact(checks)).alias("problem"))
