@@ -261,3 +261,41 @@ RATES = """count(*) AS case_count, round(avg(retrieval_hit), 4) AS retrieval_hit
 round(avg(unique_source_precision), 4) AS unique_source_precision, round(avg(duplicate_source_rate), 4) AS duplicate_source_rate, round(avg(keyword_coverage), 4) AS keyword_coverage, round(avg(keyword_pass), 4) AS keyword_pass_rate,
 round(avg(reference_support_pass), 4) AS reference_support_rate, round(avg(ground_truth_lexical_overlap), 4) AS ground_truth_lexical_overlap, round(avg(has_substantive_answer), 4) AS substantive_answer_rate,
 round(avg((retrieval_hit = 1 AND has_substantive_answer = 1 AND coalesce(keyword_pass, 1) = 1 AND coalesce(reference_support_pass, 1) = 1)::INT), 4) AS grounded_answer_rate, round(avg((source_recall = 1)::INT), 4) AS exact_source_recall_rate"""
+
+
+def incomplete(t: str) -> str:
+    """Whether a stripped text breaks off."""
+    words = rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}\p{{M}}_''-]*[\p{{L}}\p{{N}}_])?')"
+    return rf"""(len({words}) = 0 OR regexp_matches({t}, '[#*:(\[/`-]$') OR regexp_matches(lower({t}), '\[source( [1-4])?$') OR len(string_split({t}, '```')) % 2 = 0 OR len(string_split({t}, '(')) > len(string_split({t}, ')'))
+OR len(string_split({t}, '[')) > len(string_split({t}, ']')) OR coalesce({words}[-1] IN ({_lit(vocab.TAIL_WORDS)}), false) OR (len({words}) >= 20 AND NOT regexp_matches({t}, '[.!?"''`]$')))"""
+
+
+#: Blocks of text and code without symbols: a recursion over each file's lines.
+FALLBACK = r"""WITH RECURSIVE l AS (SELECT doc_id, i, CASE WHEN i % 12 = 0 THEN (CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE 'export ' END) || x ELSE x END AS x, i % 12 = 0 AS marked, n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents) WHERE NOT (i = n AND x = '' AND i % 12 <> 0)),
+f AS (SELECT doc_id, i, 1 AS held, false AS cut, 0 AS b FROM l WHERE i = 1
+  UNION ALL SELECT doc_id, i, held, held >= (CASE WHEN doc_id % 2 = 0 THEN 60 ELSE 80 END) OR (marked AND held > 8), b FROM (
+    SELECT l.doc_id, l.i, CASE WHEN f.cut THEN 1 ELSE f.held + 1 END AS held, f.b + f.cut::INT AS b, l.marked FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)),
+g AS (SELECT f.doc_id, b, min(f.i) AS line_start, max(f.i) AS line_end, string_agg(x, chr(10) ORDER BY f.i) AS t, arg_min(x, f.i) AS first FROM f JOIN l USING (doc_id, i) GROUP BY ALL),
+c AS (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS content, 'doc_' || doc_id || (CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.rs' END) AS file_path FROM g)
+SELECT file_path, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) - 1 AS chunk_ordinal, file_path || ':' || line_start AS symbol_name, 'fallback_chunk' AS symbol_type, line_start, line_end, regexp_replace(first, '^\s+|\s+$', '', 'g') AS signature, md5(content) AS digest FROM c WHERE content <> ''"""
+
+#: Slices of 1200 characters with an overlap of 150: a recursion over each text's cuts.
+OVERLAP = r"""WITH RECURSIVE s AS (SELECT doc_id, text, 0 AS start, substring(text, 1, 1200) AS part FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, next, substring(text, next + 1, 1200) FROM (SELECT doc_id, text, start + step - 150 AS next FROM (SELECT *, CASE WHEN start + 1200 >= length(text) THEN 1200
+      WHEN p > 480 THEN p + 1 WHEN d > 600 THEN d + 1 WHEN n > 480 THEN n + 1 ELSE 1200 END AS step FROM (SELECT *,
+        CASE WHEN contains(part, chr(10) || chr(10)) THEN length(part) - strpos(reverse(part), chr(10) || chr(10)) - 1 ELSE -1 END AS p, CASE WHEN contains(part, '.') THEN length(part) - strpos(reverse(part), '.') ELSE -1 END AS d,
+        CASE WHEN contains(part, chr(10)) THEN length(part) - strpos(reverse(part), chr(10)) ELSE -1 END AS n FROM s))) WHERE next < length(text)),
+c AS (SELECT doc_id, start, regexp_replace(substring(part, 1, CASE WHEN start + 1200 >= length(text) THEN 1200 WHEN p > 480 THEN p + 1 WHEN d > 600 THEN d + 1 WHEN n > 480 THEN n + 1 ELSE 1200 END), '^\s+|\s+$', '', 'g') AS content FROM (SELECT *,
+        CASE WHEN contains(part, chr(10) || chr(10)) THEN length(part) - strpos(reverse(part), chr(10) || chr(10)) - 1 ELSE -1 END AS p, CASE WHEN contains(part, '.') THEN length(part) - strpos(reverse(part), '.') ELSE -1 END AS d,
+        CASE WHEN contains(part, chr(10)) THEN length(part) - strpos(reverse(part), chr(10)) ELSE -1 END AS n FROM s))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_no, content FROM c WHERE content <> ''"""
+
+#: Blocks of Markdown texts made of the documents' lines.
+BLOCKS = r"""WITH l AS (SELECT doc_id, i, CASE (i - 1) % 9 WHEN 0 THEN '## ' || x WHEN 2 THEN '- ' || x WHEN 3 THEN '* ' || x WHEN 5 THEN '```py' WHEN 7 THEN '```' WHEN 8 THEN '' ELSE x END AS x
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+f AS (SELECT *, starts_with(x, '```') AS fence, sum(starts_with(x, '```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l),
+k AS (SELECT *, CASE WHEN fence THEN (CASE WHEN n % 2 = 1 THEN 'open' ELSE 'close' END) WHEN n % 2 = 1 THEN 'code' WHEN trim(x) = '' THEN 'blank' WHEN regexp_matches(x, '^#{1,3}\s+\S') THEN 'heading' WHEN regexp_matches(x, '^\s*[-*]\s+') THEN 'list' ELSE 'paragraph' END AS kind FROM f),
+b AS (SELECT *, sum(CASE WHEN kind = 'heading' OR before IS NULL OR before <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)),
+g AS (SELECT doc_id, b, kind, string_agg(CASE kind WHEN 'heading' THEN regexp_replace(x, '^#{1,3}\s+', '') WHEN 'list' THEN regexp_replace(x, '^\s*[-*]\s+', '') ELSE x END, chr(10) ORDER BY i) AS body, max(length(regexp_extract(x, '^(#{1,3})\s', 1))) AS level FROM b WHERE kind IN ('code', 'heading', 'list', 'paragraph') GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS block_no, kind, CASE WHEN kind = 'heading' THEN level END AS level, CASE WHEN kind = 'code' THEN 'py' END AS language, md5(body) AS digest FROM g"""

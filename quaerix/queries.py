@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from quaerix import oracle as O
 from quaerix.functions import queryx, text as T, vocab
 from quaerix.operators import answer, catalog, chunking, evaluation, fusion, lexical, vector
 from quaerix.plans import retrieval
-from quaerix.session import ship
+from quaerix.session import scratch, ship
 from quaerix.sources import files
 from quaerix.streaming.sessions import session_windows
 
@@ -54,6 +55,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the tables' chunks: written once in a Spark application, in its shared folder, and read by all queries after that."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        texts = table(spark, sf_dir, "documents").select(F.col("source").alias("repository"), F.col("doc_id").alias("id"), F.col("text").alias("searchable_text"))
+        _INDEXES[key] = lexical.write_index(texts, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as questions: a template by id and the passage's first six words, asked of one repository."""
     six = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
@@ -102,36 +115,36 @@ def tokenize_docs(spark, d):
 
 @query(f"WITH {O.BM25_BASE.strip()} SELECT repository, term, df FROM df")
 def term_document_freq(spark, d):
-    return lexical.term_stats(lexical.postings(chunks(spark, d)))
+    return indexed(spark, d).terms.select("repository", "term", "df")
 
 
 @query(f"WITH {O.BM25_BASE.strip()} SELECT repository, n, round(avgdl, 6) AS avgdl FROM co")
 def doc_length_stats(spark, d):
-    return lexical.corpus_stats(lexical.doc_stats(chunks(spark, d))).withColumn("avgdl", F.round("avgdl", 6))
+    return indexed(spark, d).corpus.select("repository", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {O.BM25_BASE.strip()} SELECT repository, term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf_table(spark, d):
-    c = chunks(spark, d)
-    return lexical.idf_table(lexical.term_stats(lexical.postings(c)), lexical.corpus_stats(lexical.doc_stats(c))).withColumn("idf", F.round("idf", 6))
+    return indexed(spark, d).terms.select("repository", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {O.QUESTIONS}, o AS (SELECT qid, 'src3' AS repository, question FROM q WHERE qid = 3), {O.BM25_BASE.strip()}, {O.bm25(50, source='o').strip()} SELECT qid, repository, id, bm25_score, bm25_rank FROM lx")
 def bm25_topk(spark, d):
     q = questions(spark, d).filter("qid = 3").select("qid", F.lit("src3").alias("repository"), F.col("question").alias("query"))
-    return lexical.bm25(chunks(spark, d), q, 50)
+    return lexical.search(indexed(spark, d), q, 50)
 
 
 @query(f"WITH {O.QUESTIONS}, o AS (SELECT r.repository AS qid, r.repository, question FROM q, (SELECT DISTINCT source AS repository FROM documents) r WHERE qid = 0), {O.BM25_BASE.strip()}, {O.bm25(10, source='o').strip()} SELECT qid, repository, id, bm25_score, bm25_rank FROM lx")
 def bm25_topk_per_repo(spark, d):
     one = questions(spark, d).filter("qid = 0").select(F.col("question").alias("query"))
     repos = table(spark, d, "documents").select(F.col("source").alias("repository")).distinct()
-    return lexical.bm25(chunks(spark, d), repos.join(F.broadcast(one), F.lit(True)).select(F.col("repository").alias("qid"), "repository", "query"), 10)
+    # One question is asked of every repository.
+    return lexical.search(indexed(spark, d), repos.join(F.broadcast(one.limit(1)), F.lit(True)).select(F.col("repository").alias("qid"), "repository", "query"), 10)
 
 
 @query(f"WITH {O.QUESTIONS}, {O.BM25_BASE.strip()}, {O.bm25(20).strip()} SELECT qid, repository, id, bm25_score, bm25_rank FROM lx")
 def bm25_batch(spark, d):
-    return lexical.bm25(chunks(spark, d), questions(spark, d).withColumnRenamed("question", "query"), 20)
+    return lexical.search(indexed(spark, d), questions(spark, d).withColumnRenamed("question", "query"), 20)
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------
@@ -193,7 +206,7 @@ _SEM = O.semantic(20, "d.source = qr AND e.vec_id = d.doc_id", "SELECT qid, repo
 
 def _lists(spark, d, k: int):
     c, q = chunks(spark, d), questions(spark, d)
-    lex = lexical.bm25(c, q.withColumnRenamed("question", "query"), k)
+    lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), k)
     v = embedded(spark, d).select("id", "embedding").join(c.select("id", F.col("repository").alias("vfilter")), "id")
     asked = vector_questions(spark, d).select("qid", "qvec").join(q.select("qid", F.col("repository").alias("qfilter")), "qid")
     return c, q, lex, vector.vector_batch(v, asked, k, filtered=True), v
@@ -228,7 +241,7 @@ def merge_path_bonus(spark, d):
 @query(f"WITH {O.QUESTIONS}, {O.CHUNKS}, f AS (SELECT qid, repository, {O.with_features('question')} FROM q) SELECT qid, id, {O.priority()} AS priority FROM f JOIN c USING (repository)")
 def canonical_priority(spark, d):
     q = queryx.features(questions(spark, d), "question", RULES).select("qid", "repository", "f")
-    return chunks(spark, d).join(lexical.small(q), "repository").select("qid", "id", fusion.canonical_priority(F.col("f")).cast("long").alias("priority"))
+    return fusion.known(chunks(spark, d)).join(lexical.small(q), "repository").select("qid", "id", fusion.canonical_priority(F.col("f")).cast("long").alias("priority"))
 
 
 @query(f"WITH {O.CHUNKS} SELECT id, {O.DOC} AS is_doc, {O.DOCPRI} AS priority FROM c")
@@ -247,7 +260,7 @@ _RERANKED = f"WITH {O.QUESTIONS}, {O.BM25_BASE.strip()}, {O.bm25(20).strip()}, {
 @query(f"{_RERANKED} SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, id) AS rerank_rank FROM rr")
 def lexical_rerank(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    lex = lexical.bm25(c, q.withColumnRenamed("question", "query"), 20).select("qid", "id")
+    lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), 20).select("qid", "id")
     rows = lex.join(lexical.small(q.select("qid", "question")), "qid").join(c.select("id", "content"), "id").withColumn("rerank_score", fusion.lexical_rerank_score(F.col("question"), F.col("content")))
     order = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), "id")
     return rows.select("qid", "id", "rerank_score", F.row_number().over(order).cast("long").alias("rerank_rank"))
@@ -268,7 +281,7 @@ def _retrieve(spark, d) -> DataFrame:
     c = chunks(spark, d)
     v = embedded(spark, d).select("id", "embedding").join(c.select("id", "repository"), "id")
     q = questions(spark, d).join(vector_questions(spark, d).select("qid", "qvec"), "qid", "left")
-    return retrieval.retrieve(c, v, q, 8, RULES)
+    return retrieval.retrieve(c, v, q, 8, RULES, index=indexed(spark, d))
 
 
 _SHOWN = ("qid", "source_no", "id", "file_path", "rrf_score", "path_score", "rerank_score", "semantic_score", "bm25_score")
@@ -285,7 +298,7 @@ _CAND = f"WITH {O.QUESTIONS}, qq AS (SELECT *, question AS query, {O.intent('que
 def _prioritised(spark, d) -> DataFrame:
     c, q = chunks(spark, d), questions(spark, d)
     f = queryx.features(q.withColumn("query", F.col("question")).withColumn("_c", F.lower(F.concat_ws(" ", "question", "query"))), "_c", RULES).drop("_c", "repository")
-    lex = lexical.bm25(c, q.withColumnRenamed("question", "query"), 20).drop("repository").withColumnRenamed("bm25_rank", "merged_rank")
+    lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), 20).drop("repository").withColumnRenamed("bm25_rank", "merged_rank")
     none = F.lit(None).cast("double")
     rows = lex.join(lexical.small(f), "qid").join(c.drop("repository", "searchable_text"), "id").withColumns({"path_score": none, "semantic_score": none, "rerank_score": none})
     return fusion.prioritise(rows, 12)
@@ -329,6 +342,11 @@ def _turns(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), "turn", "role", "text")
 
 
+@query("SELECT qid, turn, back FROM (SELECT conv_id AS qid, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE (role = 'user' OR (role = 'assistant' AND turn % 2 = 0)) AND trim(text) <> '') WHERE back <= 6")
+def history_answered(spark, d):
+    return queryx.history_window(_turns(spark, d).withColumn("answered", F.col("turn") % 2 == 0), answered="answered").select("qid", "turn", "back")
+
+
 @query("SELECT qid, turn, role, back FROM (SELECT conv_id AS qid, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE back <= 6")
 def history_window(spark, d):
     return queryx.history_window(_turns(spark, d)).select("qid", "turn", "role", "back")
@@ -361,12 +379,17 @@ def follow_up_query(spark, d):
 # --- chunking and sources ------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS i FROM documents),
-b AS (SELECT doc_id, (i - 1) // 60 AS b, min(i) AS line_start, max(i) AS line_end, string_agg(x, chr(10) ORDER BY i) AS t, arg_min(x, i) AS f FROM l GROUP BY ALL)
-SELECT doc_id, line_start, line_end, regexp_replace(f, '^\s+|\s+$', '', 'g') AS signature, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS digest FROM b WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''""")
+def _marked(spark, d) -> DataFrame:
+    """Documents as files of text or of code without symbols, in which every twelfth line is a heading or a definition."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 12 == 11, F.concat(F.when(F.col("doc_id") % 2 == 0, "# ").otherwise("export "), x)).otherwise(x))
+    path = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".rs"))
+    return table(spark, d, "documents").select(F.col("source").alias("repository"), path.alias("file_path"), F.array_join(lines, "\n").alias("content"))
+
+
+@query(O.FALLBACK)
 def fallback_chunks_text(spark, d):
-    b = chunking.line_blocks(table(spark, d, "documents").select("doc_id", "text"), 60, "text")
-    return b.select("doc_id", "line_start", "line_end", "signature", F.md5(F.col("content").cast("binary")).alias("digest"))
+    b = chunking.chunk_files(_marked(spark, d))
+    return b.select("file_path", "chunk_ordinal", "symbol_name", "symbol_type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "signature", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {O.CHUNKS} SELECT id, file_path, language FROM c")
@@ -386,15 +409,34 @@ def file_filter(spark, d):
     return rows.select("doc_id", "file_path", files.accepted(F.col("file_path"), F.col("n_chars") * 100).alias("accepted"))
 
 
-@query()
+@query(O.OVERLAP)
 def overlap_chunks(spark, d):
     return chunking.overlap_chunks(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+_LINES = "string_split(replace(replace(text, chr(39), ' '), chr(92), ' '), chr(10))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {O.PATH} AS file_path, list_concat(['def f():'], list_transform({_LINES}, lambda x, i: (CASE WHEN i = 1 THEN '    ' || repeat(chr(39), 3) ELSE '' END) || x || (CASE WHEN i = len({_LINES}) THEN repeat(chr(39), 3) ELSE '' END)), ['    return 1']) AS l FROM documents WHERE doc_id % 5 IN (1, 2))
+SELECT file_path, 'python' AS language, 0::BIGINT AS chunk_ordinal, 'f' AS symbol_name, 'function_definition' AS symbol_type, 1::BIGINT AS line_start, len(l)::BIGINT AS line_end, l[1] AS signature, md5(array_to_string(l, chr(10))) AS digest FROM s""")
 def symbol_chunks(spark, d):
-    f = chunks(spark, d).select("repository", "file_path", F.concat(F.lit("def f():\n    '''"), F.regexp_replace("content", r"['\\]", " "), F.lit("'''\n    return 1\n\nx = 1\n")).alias("content"))
-    return chunking.chunk_files(f)
+    f = chunks(spark, d).filter("language = 'python'").select("repository", "file_path", F.concat(F.lit("def f():\n    '''"), F.regexp_replace("content", r"['\\]", " "), F.lit("'''\n    return 1\n\nx = 1\n")).alias("content"))
+    b = chunking.chunk_files(f)
+    return b.select("file_path", "language", "chunk_ordinal", "symbol_name", "symbol_type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "signature", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+_RUST = "'use std::fmt;' || chr(10) || 'mod m {' || chr(10) || '    pub fn f' || doc_id || '() {' || chr(10) || '        let s = \"}\"; // ' || source || chr(10) || '    }' || chr(10) || '}' || chr(10) || 'impl Show for T' || doc_id || ' {' || chr(10) || '    fn g() {}' || chr(10) || '}' || chr(10) || 'struct One;' || chr(10)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, string_split({_RUST}, chr(10)) AS l FROM documents), c AS (SELECT doc_id, 0::BIGINT AS chunk_ordinal, 'f' || doc_id AS symbol_name, 'function_item' AS symbol_type, 3::BIGINT AS line_start, 5::BIGINT AS line_end, l FROM s
+UNION ALL SELECT doc_id, 1, 'Show', 'impl_item', 7, 9, l FROM s) SELECT 'f' || doc_id || '.rs' AS file_path, chunk_ordinal, symbol_name, symbol_type, line_start, line_end, trim(l[line_start]) AS signature, md5(trim(array_to_string(l[line_start:line_end], chr(10)))) AS digest FROM c""")
+def brace_chunks(spark, d):
+    n = F.col("doc_id").cast("string")
+    lines = ["use std::fmt;", "mod m {", F.concat(F.lit("    pub fn f"), n, F.lit("() {")), F.concat(F.lit('        let s = "}"; // '), "source"), "    }", "}", F.concat(F.lit("impl Show for T"), n, F.lit(" {")), "    fn g() {}", "}", "struct One;", ""]
+    body = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    f = table(spark, d, "documents").select(F.col("source").alias("repository"), F.concat(F.lit("f"), n, F.lit(".rs")).alias("file_path"), body.alias("content"))
+    b = chunking.chunk_files(f)
+    return b.select("file_path", "chunk_ordinal", "symbol_name", "symbol_type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "signature", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 _U = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -426,7 +468,7 @@ _SRC = f"WITH {O.QUESTIONS}, {O.BM25_BASE.strip()}, {O.bm25(4).strip()}, {O.CHUN
 
 def _sources(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    lex = lexical.bm25(c, questions(spark, d).withColumnRenamed("question", "query"), 4).drop("repository").withColumnRenamed("bm25_rank", "source_no")
+    lex = lexical.search(indexed(spark, d), questions(spark, d).withColumnRenamed("question", "query"), 4).drop("repository").withColumnRenamed("bm25_rank", "source_no")
     return lex.join(c.drop("repository"), "id").withColumns({"semantic_score": F.col("bm25_score") / 40, "rrf_score": F.lit(None).cast("double"), "rerank_score": F.lit(None).cast("double")})
 
 
@@ -479,15 +521,63 @@ def clean_markdown(spark, d):
     return _drafts(spark, d).select("doc_id", F.md5(answer.clean_markdown(F.col("draft")).cast("binary")).alias("digest"))
 
 
-_INC = rf"""SELECT doc_id, t = '' OR regexp_matches(t, '[#*:(\[/`-]$') OR regexp_matches(lower(t), '\[source( [1-4])?$') OR len(string_split(t, '```')) % 2 = 0 OR len(string_split(t, '(')) > len(string_split(t, ')')) OR len(string_split(t, '[')) > len(string_split(t, ']'))
-OR len(w) = 0 OR coalesce(w[-1] IN ({O._lit(vocab.TAIL_WORDS)}), false) OR (len(w) >= 20 AND NOT regexp_matches(t, '[.!?"''`]$')) AS incomplete FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}\p{{M}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM (SELECT doc_id, {_st('draft')} AS t FROM (SELECT doc_id, {_MD} AS draft FROM documents)))"""
-
-
-@query(_INC)
+@query(f"SELECT doc_id, {O.incomplete(_st('draft'))} AS incomplete FROM (SELECT doc_id, {_MD} AS draft FROM documents)")
 def looks_incomplete(spark, d):
     return _drafts(spark, d).select("doc_id", answer.looks_incomplete(F.col("draft")).alias("incomplete"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, {_st('draft')} AS t FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substring(text, 1, 400) || chr(10) || '- and then the' WHEN 1 THEN 'Short. Then ' || substring(text, 1, 30) || chr(10) || 'goes to' ELSE text END AS draft FROM documents)),
+l AS (SELECT doc_id, t, {_st("regexp_extract(t, '(?s)^(.*[.!?][''" + '"' + "`)" + chr(92) + "]]*)', 1)")} AS sentences, string_split(t, chr(10)) AS ls FROM t),
+w AS (SELECT *, coalesce(list_max(list_transform(ls, lambda x, i: CASE WHEN {O.incomplete(_st('x'))} THEN NULL ELSE i END)), 0) AS last FROM l),
+x AS (SELECT *, {_st("array_to_string(ls[1:last], chr(10))")} AS whole FROM w)
+SELECT doc_id, md5(CASE WHEN t = '' THEN '{answer.EMPTY}' WHEN NOT ({O.incomplete('t')}) THEN t WHEN len(regexp_extract_all(sentences, '\S+')) >= 12 THEN sentences WHEN last > 0 AND whole <> '' THEN whole ELSE t END) AS digest FROM x""")
+def finalize_answer(spark, d):
+    k, n = F.col("doc_id") % 3, F.substring("text", 1, 400)
+    t = F.when(k == 0, F.concat(n, F.lit("\n- and then the"))).when(k == 1, F.concat(F.lit("Short. Then "), F.substring("text", 1, 30), F.lit("\ngoes to"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(answer.finalised(t).cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {O.QUESTIONS} SELECT qid, md5('{answer.RULES[0]}' || chr(10) || '{answer.RULES[1]}' || chr(10) || '{answer.RULES[2]}' || CASE WHEN i = 'overview' THEN chr(10) || '{answer.OVERVIEW_RULE}' WHEN i IN ({O._lit(vocab.CODE_FIRST)}) THEN chr(10) || '{answer.CODE_RULE}' ELSE '' END
+|| chr(10) || chr(10) || 'Repository: ' || repository || chr(10) || chr(10) || 'context of ' || qid || chr(10) || chr(10) || 'Conversation: None' || chr(10) || chr(10) || 'Question: ' || question) AS digest FROM (SELECT *, {O.intent('question')} AS i FROM q)""")
+def answer_prompt(spark, d):
+    q = questions(spark, d).withColumns({"context": F.concat(F.lit("context of "), F.col("qid").cast("string")), "history": F.lit(None).cast("string")})
+    return answer.prompts(q).select("qid", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+_PERCENT = "CASE WHEN semantic_score > 0 THEN least(greatest(floor(100 * semantic_score + 0.5), 8), 99)::BIGINT ELSE 0 END"
+
+
+@query(f"{_SRC} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY percent DESC, source_no) AS citation_no, file_path AS source, symbol_name AS reason, percent FROM (SELECT *, {_PERCENT} AS percent FROM (SELECT * REPLACE (CASE WHEN source_no = 1 THEN semantic_score / 2 ELSE semantic_score END AS semantic_score) FROM s))")
+def citation_order(spark, d):
+    # The first source's score is halved, so that the order is not that of the sources.
+    rows = _sources(spark, d).withColumn("semantic_score", F.when(F.col("source_no") == 1, F.col("semantic_score") / 2).otherwise(F.col("semantic_score")))
+    return answer.citations(rows)
+
+
+@query(f"SELECT doc_id, substring({O.sq('text')}, 1, 160) AS summary FROM documents")
+def answer_summary(spark, d):
+    return table(spark, d, "documents").select("doc_id", answer.summary(F.col("text")).alias("summary"))
+
+
+_ERR = "CASE page_id % 5 WHEN 0 THEN 'fatal: could not read Username for x' WHEN 1 THEN 'remote: Repository not found.' WHEN 2 THEN 'clone timed out' WHEN 3 THEN 'Authentication FAILED' ELSE url END"
+
+
+@query(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'The repository is private or does not exist.' WHEN 3 THEN 'The repository is private or does not exist.' WHEN 1 THEN 'The repository was not found.' WHEN 2 THEN 'The repository took too long to read.' ELSE url END AS shown FROM pages")
+def error_text(spark, d):
+    said = {0: "fatal: could not read Username for x", 1: "remote: Repository not found.", 2: "clone timed out", 3: "Authentication FAILED"}
+    m = F.col("url")
+    for k, v in said.items():
+        m = F.when(F.col("page_id") % 5 == k, v).otherwise(m)
+    return table(spark, d, "pages").select("page_id", answer.friendly_error(m).alias("shown"))
+
+
+@query(O.BLOCKS)
+def markdown_blocks(spark, d):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 9 == 0, F.concat(F.lit("## "), x)).when(i % 9 == 2, F.concat(F.lit("- "), x)).when(i % 9 == 3, F.concat(F.lit("* "), x)).when(i % 9 == 5, F.lit("```py")).when(i % 9 == 7, F.lit("```")).when(i % 9 == 8, F.lit("")).otherwise(x))
+    b = answer.markdown_blocks(table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")))
+    return b.select("doc_id", "block_no", "kind", "level", "language", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 # --- catalog and sessions ------------------------------------------------------------------------------------------
 
 _NOW = "1996-06-01"
@@ -537,6 +627,17 @@ def catalog_upsert(spark, d):
     return catalog.upsert(old, new).select("id", "github_url", "updated_at")
 
 
+@query(f"SELECT count(*) AS gone, 0::BIGINT AS left_over FROM ({_CAT})")
+def catalog_wipe(spark, d):
+    stays, goes = catalog.wiped(_catalog(spark, d))
+    return goes.agg(F.count("*").alias("gone")).join(stays.agg(F.count("*").alias("left_over")), F.lit(True))
+
+
+@query("SELECT doc_id, sha256(source || chr(31) || doc_id || chr(31) || lang) AS id FROM documents")
+def vector_ids(spark, d):
+    return vector.vector_ids(table(spark, d, "documents"), "source", "doc_id", "lang").select("doc_id", "id")
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 120 MINUTE AS expires_at, count(*) AS n_events FROM s GROUP BY user_id, s""")
 def session_ttl_windows(spark, d):
@@ -619,9 +720,32 @@ def eval_audit_set(spark, d):
     return evaluation.audit_set(cases(spark, d).withColumn("turns", F.array().cast("array<struct<role:string,content:string>>")))
 
 
-@query(f"""WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, count(g.doc_id) AS n_gold, coalesce(min(g.doc_id), -1) AS first_gold FROM benchmark b LEFT JOIN g USING (item_id) GROUP BY 1""")
+@query("""SELECT 'warning' AS severity, problem FROM (SELECT unnest([CASE WHEN n < 25 THEN 'fewer than 25 cases' END, CASE WHEN c < 4 THEN 'fewer than 4 categories' END, 'fewer than 2 conversations', CASE WHEN s > 0 THEN 'categories with fewer than 2 cases' END, 'most ids have one prefix']) AS problem
+FROM (SELECT count(*) AS n, count(DISTINCT CASE WHEN item_id = 7 THEN 9 ELSE item_id % 3 END) AS c, 1 AS s FROM benchmark WHERE item_id < 20)) WHERE problem IS NOT NULL""")
+def eval_audit_warnings(spark, d):
+    few = cases(spark, d).filter(F.regexp_extract("id", r"\d+", 0).cast("long") < 20)
+    i = F.regexp_extract("id", r"\d+", 0).cast("long")
+    few = few.withColumns({"category": F.concat(F.lit("c"), F.when(i == 7, 9).otherwise(i % 3).cast("string")), "turns": F.array().cast("array<struct<role:string,content:string>>")})
+    return evaluation.audit_warnings(few)
+
+
+_HEAD = " UNION ALL ".join(
+    f"SELECT {i + 1}::BIGINT AS position, '{name}' AS metric, {c if c not in evaluation.JUDGED else 'NULL'}::DOUBLE AS value, {evaluation.GATES.get(c, 'NULL')}::DOUBLE AS gate FROM o" for i, (name, c) in enumerate(evaluation.HEADLINES)
+)
+
+
+@query(f"{_E}, o AS (SELECT {O.RATES} FROM d), h AS ({_HEAD}) SELECT *, CASE WHEN value IS NULL THEN 'absent' WHEN gate IS NULL THEN 'measured' WHEN value >= gate THEN 'pass' ELSE 'needs_work' END AS status FROM h")
+def eval_headline(spark, d):
+    return evaluation.headline(evaluation.overall(_metrics(spark, d)))
+
+
+#: Words of a passage by which documents are found that may hold it.
+ANCHOR = 3
+
+
+@query("""WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, count(g.doc_id) AS n_gold, coalesce(min(g.doc_id), -1) AS first_gold FROM benchmark b LEFT JOIN g USING (item_id) GROUP BY 1""")
 def gold_passages(spark, d):
-    # Each document is read once against the batch of passages, which is broadcast behind a check of its size.
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    g = table(spark, d, "documents").select("doc_id", "text").join(lexical.small(b), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n_gold"), F.min("doc_id").alias("first_gold"))
+    found = files.containing(table(spark, d, "documents").select("doc_id", "text"), b, ANCHOR)
+    g = found.groupBy("item_id").agg(F.count("*").alias("n_gold"), F.min("doc_id").alias("first_gold"))
     return b.select("item_id").join(g, "item_id", "left").select("item_id", F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold"), F.coalesce("first_gold", F.lit(-1)).cast("long").alias("first_gold"))

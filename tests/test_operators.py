@@ -1,17 +1,19 @@
 """Hand-computed cases of the retrieval engine's operators."""
 
 import datetime
+import hashlib
 import math
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from quaerix.functions import queryx, text, vocab
 from quaerix.operators import answer, catalog, evaluation, fusion, lexical, vector
-from quaerix.operators.chunking import chunk_files, fallback_blocks, line_blocks, overlap_slices, symbol_blocks
-from quaerix.operators.embed import HashingEmbedder, in_batches
+from quaerix.operators.chunking import chunk_files, fallback_blocks, overlap_slices, symbol_blocks
+from quaerix.operators.embed import HashingEmbedder, RemoteEmbedder, embedder_from, in_batches
 from quaerix.plans.engine import Engine
-from quaerix.sources.files import accepted, eval_set, parse_repo_url, source_files, write_report
+from quaerix.sources.files import accepted, clone, containing, eval_set, parse_repo_url, source_files, text_documents, write_report
 from quaerix.streaming.sessions import ingest_chunks, session_windows, stream_sessions
 
 
@@ -57,6 +59,21 @@ def test_bm25_without_tokens_or_chunks(spark):
     assert lexical.bm25(chunks, q, 3).count() == 0
 
 
+def test_stored_index(spark, tmp_path):
+    """A written index gives what texts give, keeps empty documents, and replaces only the repositories at hand."""
+    rows = [(1, k, v) for k, v in CORPUS.items()] + [(1, "e", ""), (2, "a", "apple pie"), (2, "b", "tart")]
+    chunks = spark.createDataFrame(rows, "repository long, id string, searchable_text string")
+    q = spark.createDataFrame([(7, 1, "apple date"), (8, 2, "tart")], "qid long, repository long, query string")
+    path = str(tmp_path / "index")
+    want = sorted(map(tuple, lexical.bm25(chunks, q, 9).collect()))
+    assert sorted(map(tuple, lexical.search(lexical.write_index(chunks, path), q, 9).collect())) == want
+    again = spark.createDataFrame([(2, "c", "tart tart")], "repository long, id string, searchable_text string")
+    lexical.write_index(again, path)
+    got = lexical.search(lexical.read_index(spark, path, chunks), q, 9).collect()
+    assert sorted(tuple(r) for r in got if r["repository"] == 1) == [r for r in want if r[1] == 1]
+    assert [r["id"] for r in got if r["repository"] == 2] == ["c"]
+
+
 def test_tokens(spark):
     assert one(spark, text.tokens(F.lit("a/b.py:c 42 Été foo_Bar"))) == ["a/b.py:c", "t", "foo_bar"]
     assert one(spark, text.code_terms(F.lit("getUserName a.beta/c-delta the 12"))) == ["a.beta/c-delta", "beta", "delta", "get", "getusername", "name", "user"]
@@ -77,6 +94,34 @@ def test_vector_search(spark):
     assert [r["id"] for r in vector.vector_topk(v, [0.0, 1.0], 2, F.col("vfilter") == 1).collect()] == ["b", "a"]
 
 
+def test_vector_batches_by_parts(spark):
+    """Questions beyond the bound are searched in parts, over several blocks of vectors, with ties by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((300, 4)), 1)
+    v = spark.createDataFrame([(f"v{i:03d}", r.tolist(), i % 3) for i, r in enumerate(x)], "id string, embedding array<double>, vfilter int").repartition(5)
+    q = spark.createDataFrame([(i, x[i].tolist(), i % 3 if i else None) for i in range(25)], "qid long, qvec array<double>, qfilter int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for filtered in (False, True):
+        got = {}
+        for r in vector.vector_batch(v, q, 6, filtered, most=10).orderBy("qid", "semantic_rank").collect():
+            got.setdefault(r["qid"], []).append((r["id"], r["semantic_score"]))
+        for i in range(25):
+            score = np.round(unit @ unit[i], 6)
+            order = sorted((j for j in range(300) if not filtered or (i and j % 3 == i % 3)), key=lambda j: (-score[j], j))[:6]
+            assert got.get(i, []) == [(f"v{j:03d}", float(score[j]) + 0.0) for j in order]
+
+
+def test_model_reranker(spark):
+    class Length:
+        def score(self, pairs):
+            return [len(q) + len(b) for q, b in pairs]
+
+    df = spark.createDataFrame([("ab", "c"), ("a", None)], "q string, b string")
+    assert sorted(r["s"] for r in df.select(fusion.model_reranker(Length(), batch=1)("q", "b").alias("s")).collect()) == [1.0, 3.0]
+
+
 def test_rrf_order_and_bound(spark):
     lex = spark.createDataFrame([(1, "a", 2.0, 1), (1, "b", 1.0, 2)], "qid long, id string, bm25_score double, bm25_rank long")
     sem = spark.createDataFrame([(1, "c", 0.9, 1), (1, "b", 0.8, 2)], "qid long, id string, semantic_score double, semantic_rank long")
@@ -144,12 +189,6 @@ def test_fallback_boundaries():
     assert fallback_blocks(" \n \n", "f", "text") == []
 
 
-def test_line_blocks_equal_fallback(spark):
-    body = "\n".join(f"line {i}" for i in range(130)) + "\n"
-    got = line_blocks(spark.createDataFrame([("f", body), ("g", " "), ("h", None)], "file_path string, content string")).collect()
-    assert sorted((r["line_start"], r["line_end"], r["content"]) for r in got) == [(c["line_start"], c["line_end"], c["content"]) for c in fallback_blocks(body, "f", "text")]
-
-
 def test_symbols():
     py = "import os\nclass A:\n    def m(self):\n        pass\n\ndef one(): pass\n\n@dec\ndef two():\n    return 1\n"
     assert [(c["symbol_name"], c["line_start"], c["line_end"]) for c in symbol_blocks(py, "f.py", "python")] == [("A", 2, 4), ("two", 9, 10)]
@@ -160,6 +199,25 @@ def test_symbols():
     assert symbol_blocks("  ", "f.py", "python") == []
 
 
+def kinds(source, name, language):
+    return [(c["symbol_name"], c["symbol_type"], c["line_start"], c["line_end"]) for c in symbol_blocks(source, name, language)]
+
+
+def test_symbols_of_languages_with_braces():
+    js = "const one = 1;\nconst two = (a) => {\n  return a;\n};\nfunction* gen() {\n  yield 1;\n}\nmodule.exports = {\n  act(x) {\n    if (x) {\n      go();\n    }\n  },\n};\nvar v = [\n  1,\n]\nlet w = a\n  .b()\nasync function f(\n  a,\n  b\n) {\n}\n"
+    assert kinds(js, "f.js", "javascript") == [("two", "lexical_declaration", 2, 4), ("gen", "generator_function_declaration", 5, 7), ("act", "method_definition", 9, 13), ("v", "variable_declaration", 15, 17), ("w", "lexical_declaration", 18, 19), ("f", "function_declaration", 20, 24)]
+    ts = "export interface P {\n  a: number;\n}\nexport type T =\n  | 'a'\n  | 'b';\nabstract class Q {\n  m(): void {\n    x();\n  }\n}\nexport default class R {\n  m() {\n  }\n}\n"
+    # An abstract class is no kind of its own: its methods are.
+    assert kinds(ts, "f.ts", "typescript") == [("P", "interface_declaration", 1, 3), ("T", "type_alias_declaration", 4, 6), ("m", "method_definition", 8, 10), ("R", "class_declaration", 12, 15)]
+    java = "package p;\n\n@Service\npublic class A {\n  int f() {\n    return 1;\n  }\n}\nrecord B(int x) {\n  @Override\n  public String toString() {\n    return \"}\";\n  }\n}\nenum C {\n  X, Y\n}\n"
+    assert kinds(java, "A.java", "java") == [("A", "class_declaration", 3, 8), ("toString", "method_declaration", 10, 13), ("C", "enum_declaration", 15, 17)]
+    go = "package m\n\nfunc (s *S) Do(a int) error {\n\treturn nil\n}\n\nfunc Run() {\n\tx()\n}\n\ntype S struct {\n\ta int\n}\n\ntype One int\n"
+    assert kinds(go, "m.go", "go") == [("Do", "method_declaration", 3, 5), ("Run", "function_declaration", 7, 9), ("S", "type_declaration", 11, 13)]
+    rust = "pub struct A {\n    x: i32,\n}\nimpl<T> Show for A {\n    fn f<'a>(&'a self) -> char {\n        '{'\n    }\n}\nmod m {\n    pub async fn g() {\n        h();\n    }\n}\npub trait U {\n    fn z();\n}\nenum E {\n    P,\n}\nstruct Unit;\n"
+    assert kinds(rust, "a.rs", "rust") == [("A", "struct_item", 1, 3), ("Show", "impl_item", 4, 8), ("g", "function_item", 10, 12), ("U", "trait_item", 14, 16), ("E", "enum_item", 17, 19)]
+    assert kinds("let x = 1\n", "f.js", "javascript")[0][1] == "fallback_chunk"
+
+
 def test_overlap_slices():
     assert [len(x) for x in overlap_slices("a" * 1100)] == [1100, 50]
     assert [len(x) for x in overlap_slices("a" * 1201)] == [1200, 151]
@@ -185,6 +243,47 @@ def test_repo_urls(spark):
         assert want is None or (r["p"]["owner"], r["p"]["repo"], r["p"]["branch"]) == want
 
 
+def test_cloning(tmp_path):
+    target, asked = tmp_path / "t", []
+
+    def run(words):
+        asked.append(words[words.index("--branch") + 1] if "--branch" in words else "")
+        if asked[-1]:
+            raise subprocess.CalledProcessError(128, words, stderr="fatal: Remote branch not found")
+        target.mkdir()
+
+    assert clone("https://host/o/r", str(target), "dev", run=run) == ""
+    assert asked == ["dev", "main", ""]
+    with pytest.raises(ValueError, match="no access"):
+        clone("https://host/o/r", str(target), run=lambda w: (_ for _ in ()).throw(subprocess.CalledProcessError(1, w, stderr="no access")))
+    assert not target.exists()
+    # A real repository on this machine.
+    source = tmp_path / "source"
+    git = lambda *w: subprocess.run(["git", "-C", str(source), "-c", "user.name=a", "-c", "user.email=a@b", *w], check=True, capture_output=True)
+    source.mkdir()
+    git("init", "-q", "-b", "trunk")
+    (source / "a.py").write_text("x = 1\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    assert clone(f"file://{source}", str(target), "none") == ""
+    assert (target / "a.py").exists()
+
+
+def test_text_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.bin").write_bytes(b"x")
+    r = text_documents(spark, str(tmp_path)).collect()
+    assert [(x["content"], x["digest"]) for x in r] == [("one\ntwo", hashlib.md5(b"one\ntwo").hexdigest())]
+
+
+def test_containing(spark):
+    """Also where a passage begins or ends inside a word, spans lines, or is short."""
+    docs = spark.createDataFrame([(1, "xone two three four fivey"), (2, "one two  three four five"), (3, "one two\nthree four five"), (4, None), (5, "ab")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "one two three four five"), (2, "one two\nthree four five"), (3, "b"), (4, "two  three four"), (5, None), (6, "absent words of some length here")], "item_id long, passage string")
+    got = sorted(map(tuple, containing(docs, passages).collect()))
+    assert got == [(1, 1), (2, 4), (3, 2), (5, 3)]
+
+
 # --- answers -------------------------------------------------------------------------------------------------------
 
 
@@ -193,7 +292,6 @@ def test_repo_urls(spark):
     [("Done.", False), ("", True), ("open (", True), ("a [b", True), ("```x", True), ("this goes to", True), ("one two", False), ("word " * 20, True), ("word " * 20 + "end.", False), ("see [Source 2", True), ("…", True), ("- ", True)],
 )
 def test_incomplete(spark, said, want):
-    assert answer.incomplete(said) is want
     assert one(spark, answer.looks_incomplete(F.lit(said))) is want
 
 
@@ -202,12 +300,103 @@ def test_incomplete_by_reason(spark):
     assert one(spark, answer.looks_incomplete(F.lit("Done."), F.lit(" STOP "))) is False
 
 
-def test_finalise():
+def test_finalised(spark):
+    f = lambda t: one(spark, answer.finalised(F.lit(t)))
     twelve = "one two three four five six seven eight nine ten eleven twelve."
-    assert answer.finalise(twelve + " and then the") == twelve
-    assert answer.finalise("Good line\nbad line with the") == "Good line"
-    assert answer.finalise("") == answer.EMPTY
-    assert answer.finalise("whole.") == "whole."
+    assert f(twelve + " and then the") == twelve
+    # Too little of it is whole sentences: whole lines are kept.
+    assert f("Good line\nbad line with the") == "Good line"
+    assert f("First.\n\nSecond line\n\n- ") == "First.\n\nSecond line"
+    assert f("nothing whole (") == "nothing whole ("
+    assert f("") == answer.EMPTY
+    assert f(None) == answer.EMPTY
+    assert f(" whole. ") == "whole."
+    assert f('He said "yes." ' + twelve + '") and the') == 'He said "yes." ' + twelve + '")'
+
+
+class Scripted:
+    """Answers from a list, and the prompts that it was asked."""
+
+    def __init__(self, *said):
+        self.said, self.asked = list(said), []
+
+    def ask(self, prompt, context):
+        self.asked.append(prompt)
+        return self.said.pop(0)
+
+
+def test_asking_until_complete(spark):
+    good = Scripted(("It ends here.", "stop"))
+    assert answer.ask_until_complete(spark, good, "p", "c") == "It ends here."
+    assert good.asked == ["p"]
+    cut = Scripted(("This goes to", "stop"), ("Now whole [Source 1].", "length"), ("Now whole [Source 2].", "STOP"))
+    assert answer.ask_until_complete(spark, cut, "p", "c") == "Now whole."
+    assert cut.asked == ["p", f"p\n{answer.AGAIN[0]}", f"p\n{answer.AGAIN[1]}"]
+    never = Scripted(*[("Good line\nbad line with the", "stop")] * 3)
+    assert answer.ask_until_complete(spark, never, "p", "c") == "Good line"
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([(1, "o/r", "What does this repo do?", "ctx", None), (2, None, "where is the class", None, "User: hi"), (3, "o/r", "tell me", "", "")], "qid long, repository string, question string, context string, history string")
+    got = {r["qid"]: r["prompt"] for r in answer.prompts(rows).collect()}
+    assert answer.OVERVIEW_RULE in got[1] and answer.CODE_RULE in got[2] and answer.CODE_RULE not in got[3]
+    assert got[1].index("ctx") < got[1].index("Question: ") and "Conversation: None" in got[1] and "Conversation: User: hi" in got[2]
+
+
+def test_remote_models():
+    calls, waits = [], []
+
+    def chat(url, body, headers, timeout):
+        calls.append((url, body["model"], headers))
+        return {"choices": [{"message": {"content": "Said."}, "finish_reason": "stop"}]}
+
+    assert answer.ChatAnswerer("http://h/chat", "m", "k", post=chat).ask("p", "c") == ("Said.", "stop")
+    assert calls == [("http://h/chat", "m", {"Authorization": "Bearer k"})]
+
+    def vectors(url, body, headers, timeout):
+        return {"data": [{"index": 1, "embedding": [0, 1]}, {"index": 0, "embedding": [1, 0]}][: len(body["input"]) if body["input"][0].startswith("q: ") else 2]}
+
+    e = RemoteEmbedder("http://h/e", "m", 2, query_prefix="q: ", post=vectors)
+    assert e.embed(["a", "b"]).tolist() == [[1, 0], [0, 1]]
+    assert e.embed([]).shape == (0, 2)
+    with pytest.raises(ValueError, match="dimension"):
+        e.embed(["a", "b", "c"])
+    assert isinstance(embedder_from({}), HashingEmbedder) and embedder_from({"dimension": 8}).dimension == 8
+    assert isinstance(embedder_from({"url": "http://h", "model": "m", "dimension": 3}), RemoteEmbedder)
+    with pytest.raises(ValueError, match="provider"):
+        embedder_from({"provider": "none"})
+    # A service that names a wait is waited for as long as that.
+    tries = []
+
+    def busy():
+        tries.append(1)
+        if len(tries) < 2:
+            raise answer.Busy("429", 7.0)
+        return "ok"
+
+    assert answer.retrying(busy, sleep=waits.append) == "ok" and waits == [7.0]
+
+
+def test_citations(spark):
+    rows = [(1, 1, "a.py", "f", 0.2, None), (1, 2, "b.py", "", 0.9, None), (1, 3, "c.py", "g", 0.0, 4.0), (1, 4, "d.py", None, 0.9, None), (1, 5, "e.py", "h", 1.0, None)]
+    df = spark.createDataFrame(rows, "qid long, source_no long, file_path string, symbol_name string, semantic_score double, rerank_score double")
+    assert [(r["citation_no"], r["source"], r["reason"], r["percent"]) for r in answer.citations(df).orderBy("citation_no").collect()] == [(1, "b.py", "b.py", 90), (2, "d.py", "d.py", 90), (3, "c.py", "g", 73), (4, "a.py", "f", 20)]
+
+
+def test_markdown_blocks(spark):
+    said = "# Title\nfirst line\nsecond line\n\n- one\n* two\n## Sub\n## Sub\n```py\ndef f():\n\n# no heading\n```\n#### four\n```\nopen\nfence"
+    got = answer.markdown_blocks(spark.createDataFrame([(1, said), (2, ""), (3, None)], "id long, text string")).orderBy("id", "block_no").collect()
+    assert [(r["id"], r["kind"], r["level"], r["language"], r["body"]) for r in got] == [
+        (1, "heading", 1, None, "Title"), (1, "paragraph", None, None, "first line\nsecond line"), (1, "list", None, None, "one\ntwo"), (1, "heading", 2, None, "Sub"), (1, "heading", 2, None, "Sub"),
+        (1, "code", None, "py", "def f():\n\n# no heading"), (1, "paragraph", None, None, "#### four"), (1, "code", None, None, "open\nfence"),
+    ]
+
+
+def test_error_statuses():
+    assert catalog.status_of(catalog.NotFound("x"))[0] == 404
+    assert catalog.status_of(ValueError("x")) == (400, {})
+    assert catalog.status_of(answer.Busy("429", 3.0)) == (429, {"Retry-After": "3"})
+    assert catalog.status_of(RuntimeError("x"))[0] == 500
 
 
 def test_clean_markdown(spark):
@@ -277,6 +466,26 @@ def test_gates_and_readiness():
     assert evaluation.readiness(row | {"mrr": 0.1}, {"case_count": 50, "categories": 9, "errors": 0})["status"] == "not_ready"
 
 
+def test_audit_headline_and_judge(spark):
+    rows = [(f"x-{i}", "c" if i else "d", "q", "g", ["a.py"], None, 1, None) for i in range(5)]
+    cases = spark.createDataFrame(rows, evaluation.CASE)
+    said = [r["problem"] for r in evaluation.audit_warnings(cases).collect()]
+    assert said == ["fewer than 25 cases", "fewer than 4 categories", "fewer than 2 conversations", "categories with fewer than 2 cases", "most ids have one prefix"]
+    report = spark.createDataFrame([(0.9, 0.5, 0.8)], "retrieval_hit_rate double, top1_hit_rate double, mrr double")
+    got = {r["metric"]: r["status"] for r in evaluation.headline(report).collect()}
+    assert (got["Retrieval hit rate"], got["Top-1 hit rate"], got["Faithfulness"]) == ("pass", "needs_work", "absent")
+
+    class Same:
+        def judge(self, question, answer, contexts, reference):
+            return {"faithfulness": float(answer == reference), "context_precision": len(contexts) / 2}
+
+    df = spark.createDataFrame([("q", "g", ["c"], "g"), ("q", "x", None, "g")], "question string, answer string, contexts array<string>, ground_truth string")
+    r = evaluation.judge_summary(evaluation.judged(df, Same())).first()
+    assert (r["faithfulness"], r["answer_relevancy"], r["context_precision"], r["judged_cases"]) == (0.5, None, 0.25, 0)
+    made = evaluation.run_metadata(spark, embedder=HashingEmbedder(8), answerer=answer.ChatAnswerer("http://h", "m", "secret"), judge=None).first()
+    assert made["settings"]["embedder"] == "HashingEmbedder(dimension=8)" and "secret" not in str(made["settings"]) and made["settings"]["judge"] == "None"
+
+
 def test_eval_files(spark, tmp_path):
     p = tmp_path / "set.json"
     p.write_text('[{"id": "a-1", "question": "q", "ground_truth": "g", "expected_sources": ["x.py"], "turns": [{"role": "user", "content": "c"}]}]')
@@ -324,22 +533,63 @@ def test_engine(spark, tmp_path):
     (tree / "node_modules" / "x.js").write_text("function no() {\n}\n")
     assert sorted(r["file_path"] for r in source_files(spark, str(tree)).collect()) == ["README.md", "pkg/mail.py"]
     e = Engine(spark, str(tmp_path / "store"))
-    row = e.index(str(tree), "session-one", "https://github.com/o/mail")
+    row = e.index(str(tree), "session-one", "https://github.com/o/mail/tree/dev")
     assert (row["status"], row["file_count"], row["chunk_count"]) == ("indexed", 2, 3)
+    assert (row["owner"], row["name"], row["branch"]) == ("o", "mail", "dev")
     said = e.ask(row["id"], "session-one", "where is the send_mail function?", 3)
     assert said["sources"][0]["file_path"] == "pkg/mail.py"
     assert said["confidence"] in ("low", "medium", "high")
     assert len(said["summary"]) <= 160
+    assert said["citations"][0].keys() == {"source", "reason", "percent"}
+    # The prompt that an answerer gets has the sources, the history and the question.
+    e.answerer = Scripted(("It is in a file.", "stop"))
+    e.ask(row["id"], "session-one", "where is the send_mail function?", 3, [{"role": "user", "content": "hello there"}])
+    assert all(x in e.answerer.asked[0] for x in ("o/mail", "pkg/mail.py", "def send_mail(to):", "User: hello there", "Question: where is"))
     assert [r["github_url"] for r in e.list("session-one")] == ["https://github.com/o/mail"]
     assert e.get(row["id"], "session-two") is None
-    with pytest.raises(ValueError, match="repository"):
+    # An engine that is made anew over the path goes on; sessions stay apart.
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.get(row["id"], "session-one")["status"] == "indexed"
+    assert e.health() == {"status": "ok", "repositories": 1, "vectors": 3, "dimension": 64}
+    with pytest.raises(catalog.NotFound, match="repository"):
         e.ask(row["id"], "session-two", "where is it?")
     with pytest.raises(ValueError, match="top_k"):
         e.ask(row["id"], "session-one", "where is it?", 99)
+    with pytest.raises(ValueError, match="host"):
+        e.index(str(tree), "session-one", "https://elsewhere.example/o/r")
     again = e.index(str(tree), "session-one", "https://github.com/o/mail")
-    assert again["id"] == row["id"]
+    assert again["id"] == row["id"] and again["created_at"] == row["created_at"]
+    other = e.index(str(tree), "session-two")
     assert e.end_session("session-one") == 1
     assert e.list("session-one") == []
+    assert e.ask(other["id"], "session-two", "where is the send_mail function?", 3)["sources"]
+    assert len(e._versions()) <= 2
+    assert Engine(spark, str(tmp_path / "store"), fresh=True).health()["repositories"] == 0
+
+
+def test_ending_a_session_cancels_its_indexing(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("def f():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "store"))
+
+    check = e._go_on
+
+    def ending(repository, session):
+        e.end_session(session)
+        check(repository, session)
+
+    e._go_on = ending
+    with pytest.raises(catalog.Cancelled):
+        e.index(str(tmp_path / "tree"), "session-one")
+    assert e.catalog().count() == 0
+
+
+def test_a_failed_index_says_why(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception, match="."):
+        e.index(str(tmp_path / "absent"), "session-one")
+    row = e.catalog().first()
+    assert row["status"] == "failed" and row["error_message"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
