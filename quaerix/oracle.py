@@ -263,6 +263,15 @@ round(avg(reference_support_pass), 4) AS reference_support_rate, round(avg(groun
 round(avg((retrieval_hit = 1 AND has_substantive_answer = 1 AND coalesce(keyword_pass, 1) = 1 AND coalesce(reference_support_pass, 1) = 1)::INT), 4) AS grounded_answer_rate, round(avg((source_recall = 1)::INT), 4) AS exact_source_recall_rate"""
 
 
+def swap(sql: str, *pairs: tuple[str, str]) -> str:
+    """*sql* with parts replaced; a part that does not occur is an error."""
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
 def incomplete(t: str) -> str:
     """Whether a stripped text breaks off."""
     words = rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}\p{{M}}_''-]*[\p{{L}}\p{{N}}_])?')"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import shutil
+import tempfile
 import threading
 import uuid
 
@@ -14,8 +16,8 @@ from quaerix.operators import answer, catalog, lexical, vector
 from quaerix.operators.chunking import chunk_files
 from quaerix.operators.embed import Embedder, HashingEmbedder, embed
 from quaerix.plans.retrieval import retrieve
-from quaerix.session import ship
-from quaerix.sources.files import HOSTS, parse_repo_url, source_files
+from quaerix.session import scratch, ship
+from quaerix.sources.files import HOSTS, clone, parse_repo_url, source_files
 
 NAMES = [c.split()[0] for c in catalog.SCHEMA.split(", ")]
 #: Catalog versions that are kept for readers that opened them before the last change.
@@ -175,6 +177,24 @@ class Engine:
         finally:
             self.spark.sparkContext.removeJobTag(tag)
 
+    def index_url(self, url: str, session: str, run=None) -> dict:
+        """Clone a repository, index it, and remove the copy, also after a failure.
+
+        The driver clones into a folder of its own and copies the tree to the shared scratch folder, where all executors read it. *run* as in `files.clone`.
+        """
+        at = self._placed(url)
+        local = tempfile.mkdtemp(prefix="quaerix_clone_")
+        shared = f"{scratch(self.spark)}/trees/{uuid.uuid4().hex}"
+        try:
+            clone(at["source_url"], f"{local}/tree", at["branch"], run=run)
+            shutil.rmtree(f"{local}/tree/.git", ignore_errors=True)
+            p, fs = self._fs(shared)
+            fs.copyFromLocalFile(False, True, self._fs(f"file://{local}/tree")[0], p)
+            return self.index(shared, session, url)
+        finally:
+            shutil.rmtree(local, ignore_errors=True)
+            self._delete(shared)
+
     def _go_on(self, repository: int, session: str) -> None:
         if self._row(repository, session) is None:
             raise catalog.Cancelled("the session ended")

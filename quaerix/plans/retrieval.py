@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from quaerix.functions import vocab
 from quaerix.functions.queryx import features, intent, retrieval_query, search_depth
 from quaerix.operators import fusion, lexical, vector
+from quaerix.session import settled
 
 RERANKED, SOURCES = 20, 5
 FIELDS = ("file_path", "language", "symbol_name", "symbol_type", "line_start", "line_end", "signature", "content")
 
 
 def prepared(questions: DataFrame, top_k: int, rules=()) -> DataFrame:
-    """questions (qid, repository, question[, last_user, last_assistant]) -> with query, depth, f (path search) and g (ranking)."""
+    """questions (qid, repository, question[, last_user, last_assistant]) -> with query, depth, f (path search) and g (ranking).
+
+    There are few questions and long expressions on them: each step is settled, so that it is planned and computed once.
+    """
     have = questions.columns
     absent = F.lit(None).cast("string")
     user = F.col("last_user") if "last_user" in have else absent
     said = F.col("last_assistant") if "last_assistant" in have else absent
     q = questions.withColumn("query", retrieval_query(F.col("question"), user, said, rules)).withColumn("depth", search_depth(F.col("question"), F.lit(top_k)))
-    q = features(q.withColumn("_c", F.concat_ws("\n", "question", "query")), "_c", rules)
-    return features(q.withColumnRenamed("f", "_f").withColumn("_c", F.lower(F.concat_ws(" ", "question", "query"))), "_c", rules).withColumnsRenamed({"f": "g", "_f": "f"}).drop("_c")
+    q = settled(q.withColumns({"_f": F.concat_ws("\n", "question", "query"), "_g": F.lower(F.concat_ws(" ", "question", "query"))}), "asked")
+    q = features(features(q, "_f", rules).withColumnRenamed("f", "_h"), "_g", rules).withColumnsRenamed({"f": "g", "_h": "f"})
+    return settled(q.drop("_f", "_g"), "questions")
 
 
 def lists(chunks: DataFrame, vectors: DataFrame | None, q: DataFrame, top_k: int, index: lexical.Index | None = None) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +57,8 @@ def retrieve(chunks: DataFrame, vectors: DataFrame | None, questions: DataFrame,
     q = prepared(questions, top_k, rules)
     fused, paths = lists(chunks, vectors, q, top_k, index)
     most = max(top_k, min(top_k * 8, 120))
-    merged = fusion.merge_path(fused, paths, most)
+    # At most *most* rows of ids and scores for each question.
+    merged = settled(fusion.merge_path(fused, paths, most), "merged")
     asked = q.select("qid", "repository", "question", "query", "depth", F.col("g").alias("f"))
     rows = merged.join(lexical.small(asked), "qid").filter(F.col("merged_rank") <= F.col("depth")).join(chunks.select("repository", "id", *FIELDS), ["repository", "id"])
     deep: Column = F.when(intent(F.col("question")).isin(*vocab.DEEP), F.col("query")).otherwise(F.col("question"))

@@ -13,7 +13,7 @@ from quaerix import oracle as O
 from quaerix.functions import queryx, text as T, vocab
 from quaerix.operators import answer, catalog, chunking, evaluation, fusion, lexical, vector
 from quaerix.plans import retrieval
-from quaerix.session import scratch, ship
+from quaerix.session import scratch, settled, ship
 from quaerix.sources import files
 from quaerix.streaming.sessions import session_windows
 
@@ -201,7 +201,8 @@ def vector_delete(spark, d):
 
 # --- fusion and ranking --------------------------------------------------------------------------------------------
 
-_SEM = O.semantic(20, "d.source = qr AND e.vec_id = d.doc_id", "SELECT qid, repository AS qr, e.embedding AS qv FROM q JOIN embeddings e ON e.vec_id = qid").replace("FROM qv, embeddings WHERE", "FROM qv, embeddings e, documents d WHERE").replace("(embedding::", "(e.embedding::").replace("(embedding,", "(e.embedding,")
+_SEM = O.semantic(20, "d.source = qr AND e.vec_id = d.doc_id", "SELECT qid, repository AS qr, e.embedding AS qv FROM q JOIN embeddings e ON e.vec_id = qid")
+_SEM = O.swap(_SEM, ("FROM qv, embeddings WHERE", "FROM qv, embeddings e, documents d WHERE"), ("(embedding::", "(e.embedding::"))
 
 
 def _lists(spark, d, k: int):
@@ -221,26 +222,30 @@ def rrf_fusion(spark, d):
     return fusion.rrf(lex, sem, 20)
 
 
+def _path_questions(q: DataFrame) -> DataFrame:
+    """Questions with the features that path search asks for; each step is settled, so that long expressions are planned once."""
+    expanded = q.withColumn("query", queryx.expand(F.col("question"), RULES)).withColumn("_c", F.concat_ws("\n", "question", "query"))
+    return lexical.small(settled(queryx.features(settled(expanded, "asked"), "_c", RULES), "questions"))
+
+
 _QQ = f"qq AS (SELECT *, {O.expand('question')} AS query FROM q)"
 
 
 @query(f"WITH {O.QUESTIONS}, {_QQ}, {O.CHUNKS}, {O.path_search(20).strip()} SELECT qid, id, path_score, path_rank FROM pa")
 def path_intent_search(spark, d):
-    q = questions(spark, d).withColumn("query", queryx.expand(F.col("question"), RULES)).withColumn("_c", F.concat_ws("\n", "question", "query"))
-    return fusion.path_intent_search(chunks(spark, d), lexical.small(queryx.features(q, "_c", RULES)), 20)
+    return fusion.path_intent_search(chunks(spark, d), _path_questions(questions(spark, d)), 20)
 
 
 @query(f"WITH {_FUSED}, {_QQ}, {O.CHUNKS}, {O.path_search(20).strip()}, {O.merged(20).strip()} SELECT qid, id, rrf_score, path_score, semantic_score, merged_rank FROM mg")
 def merge_path_bonus(spark, d):
     c, q, lex, sem, _ = _lists(spark, d, 20)
-    f = q.withColumn("query", queryx.expand(F.col("question"), RULES)).withColumn("_c", F.concat_ws("\n", "question", "query"))
-    paths = fusion.path_intent_search(c, lexical.small(queryx.features(f, "_c", RULES)), 20)
+    paths = fusion.path_intent_search(c, _path_questions(q), 20)
     return fusion.merge_path(fusion.rrf(lex, sem, 20), paths, 20).select("qid", "id", "rrf_score", "path_score", "semantic_score", "merged_rank")
 
 
 @query(f"WITH {O.QUESTIONS}, {O.CHUNKS}, f AS (SELECT qid, repository, {O.with_features('question')} FROM q) SELECT qid, id, {O.priority()} AS priority FROM f JOIN c USING (repository)")
 def canonical_priority(spark, d):
-    q = queryx.features(questions(spark, d), "question", RULES).select("qid", "repository", "f")
+    q = settled(queryx.features(questions(spark, d), "question", RULES).select("qid", "repository", "f"), "questions")
     return fusion.known(chunks(spark, d)).join(lexical.small(q), "repository").select("qid", "id", fusion.canonical_priority(F.col("f")).cast("long").alias("priority"))
 
 
@@ -268,9 +273,14 @@ def lexical_rerank(spark, d):
 
 _RQ = f"qq AS (SELECT *, CASE WHEN {O.overview('question')} THEN {O.sq('question')} || chr(10) || '{vocab.OVERVIEW_SUFFIX}' ELSE {O.expand('question')} END AS query, {O.depth('question', 8)} AS depth, {O.intent('question')} AS qi FROM q)"
 _DEEP = f"CASE WHEN qi IN ({O._lit(vocab.DEEP)}) THEN query ELSE question END"
-_FULL = f"""WITH {O.QUESTIONS}, {_RQ}, {O.BM25_BASE.strip()}, {O.bm25(64, 'query', 'qq').strip().replace('WHERE bm25_rank <= 64', 'JOIN (SELECT qid, depth FROM qq) USING (qid) WHERE bm25_rank <= depth')},
-{_SEM.strip().replace('WHERE semantic_rank <= 20', 'JOIN (SELECT qid, depth FROM qq) USING (qid) WHERE semantic_rank <= depth')}, {O.rrf(64).strip().replace('WHERE candidate_rank <= 64', 'JOIN (SELECT qid, depth FROM qq) USING (qid) WHERE candidate_rank <= depth')},
-{O.CHUNKS}, {O.path_search(64).strip().replace('WHERE path_rank <= 64', 'JOIN (SELECT qid, depth FROM qq) USING (qid) WHERE path_rank <= depth')}, {O.merged(64).strip()},
+def _deep(sql: str, rank: str) -> str:
+    """A ranking that is cut at its question's depth."""
+    return O.swap(sql, (f"WHERE {rank}", f"JOIN (SELECT qid, depth FROM qq) USING (qid) WHERE {rank.split()[0]} <= depth"))
+
+
+_FULL = f"""WITH {O.QUESTIONS}, {_RQ}, {O.BM25_BASE.strip()}, {_deep(O.bm25(64, 'query', 'qq').strip(), 'bm25_rank <= 64')},
+{_deep(_SEM.strip(), 'semantic_rank <= 20')}, {_deep(O.rrf(64).strip(), 'candidate_rank <= 64')},
+{O.CHUNKS}, {_deep(O.path_search(64).strip(), 'path_rank <= 64')}, {O.merged(64).strip()},
 ft AS (SELECT qid, question, query, depth, qi, {O.with_features("lower(question || ' ' || query)")} FROM qq),
 r0 AS (SELECT mg.*, c.* EXCLUDE (id, repository), ft.* EXCLUDE (qid), {O.rerank(_DEEP, "file_path || chr(10) || signature || chr(10) || content")} AS rerank_score FROM mg JOIN ft USING (qid) JOIN c ON c.id = mg.id WHERE merged_rank <= depth),
 rw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, merged_rank) AS rerank_rank FROM r0) WHERE rerank_rank <= least(depth, 20)),
@@ -297,7 +307,7 @@ _CAND = f"WITH {O.QUESTIONS}, qq AS (SELECT *, question AS query, {O.intent('que
 
 def _prioritised(spark, d) -> DataFrame:
     c, q = chunks(spark, d), questions(spark, d)
-    f = queryx.features(q.withColumn("query", F.col("question")).withColumn("_c", F.lower(F.concat_ws(" ", "question", "query"))), "_c", RULES).drop("_c", "repository")
+    f = settled(queryx.features(q.withColumn("query", F.col("question")).withColumn("_c", F.lower(F.concat_ws(" ", "question", "query"))), "_c", RULES).drop("_c", "repository"), "questions")
     lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), 20).drop("repository").withColumnRenamed("bm25_rank", "merged_rank")
     none = F.lit(None).cast("double")
     rows = lex.join(lexical.small(f), "qid").join(c.drop("repository", "searchable_text"), "id").withColumns({"path_score": none, "semantic_score": none, "rerank_score": none})
@@ -309,7 +319,7 @@ def prioritize(spark, d):
     return _prioritised(spark, d).select("qid", "id", "position")
 
 
-@query(f"{_CAND}, {O.capped(5).strip().replace('PARTITION BY qid, file_path', 'PARTITION BY qid, language')} SELECT qid, id, source_no FROM cp")
+@query(f"{_CAND}, {O.swap(O.capped(5).strip(), ('PARTITION BY qid, file_path', 'PARTITION BY qid, language'))} SELECT qid, id, source_no FROM cp")
 def cap_per_file(spark, d):
     # The tables have one chunk for each file: the language stands for the file, so that the cap binds.
     rows = _prioritised(spark, d).drop("file_path").withColumnRenamed("language", "file_path")

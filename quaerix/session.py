@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,6 +41,13 @@ def scratch(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """*df* written to the scratch folder and read back: what was long to plan, or is needed several times, is a table of plain columns after that."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     return (

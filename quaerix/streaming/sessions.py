@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaerix.operators.catalog import TTL_MINUTES
@@ -23,8 +23,18 @@ def stream_sessions(events: DataFrame, late: str = "10 minutes", minutes: int =
     return session_windows(timed.withWatermark(at, late), minutes, key, at)
 
 
+def latest_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """What `ingest_chunks` has written, without the chunks of files that a later batch brought again."""
+    every = spark.read.parquet(path)
+    last = every.groupBy("repository", "file_path").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["repository", "file_path", "batch"], "left_semi").drop("batch")
+
+
 def ingest_chunks(files: DataFrame, path: str, checkpoint: str):
-    """Chunk a stream of files (repository, file_path, content) into a table by repository, exactly once for each batch."""
+    """Chunk a stream of files (repository, file_path, content) into a table by batch and repository, exactly once for each batch.
+
+    A file may come again with other contents: `latest_chunks` reads its last version.
+    """
     from quaerix.operators.chunking import chunk_files
 
     def write(batch: DataFrame, number: int) -> None:

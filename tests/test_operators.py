@@ -14,7 +14,7 @@ from quaerix.operators.chunking import chunk_files, fallback_blocks, overlap_sli
 from quaerix.operators.embed import HashingEmbedder, RemoteEmbedder, embedder_from, in_batches
 from quaerix.plans.engine import Engine
 from quaerix.sources.files import accepted, clone, containing, eval_set, parse_repo_url, source_files, text_documents, write_report
-from quaerix.streaming.sessions import ingest_chunks, session_windows, stream_sessions
+from quaerix.streaming.sessions import ingest_chunks, latest_chunks, session_windows, stream_sessions
 
 
 def one(spark, column, **values):
@@ -567,6 +567,33 @@ def test_engine(spark, tmp_path):
     assert Engine(spark, str(tmp_path / "store"), fresh=True).health()["repositories"] == 0
 
 
+def test_indexing_a_url(spark, tmp_path):
+    import os
+
+    def run(words):
+        os.makedirs(words[-1] + "/.git")
+        with open(words[-1] + "/a.py", "w") as f:
+            f.write("def f():\n    return 1\n")
+
+    e = Engine(spark, str(tmp_path / "store"))
+    row = e.index_url("https://github.com/o/r", "session-one", run=run)
+    assert (row["status"], row["name"], row["chunk_count"]) == ("indexed", "r", 1)
+    assert not e._exists(row["local_path"])
+    with pytest.raises(ValueError, match="host"):
+        e.index_url("https://elsewhere.example/o/r", "session-one", run=run)
+
+
+def test_approximate_search(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((400, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    exact = [r["id"] for r in vector.vector_topk(v, x[5].tolist(), 10).collect()]
+    near = {r["id"]: r["semantic_score"] for r in vector.approximate_topk(v, x[5].tolist(), 10, 1.5, 12).collect()}
+    assert near[5] == pytest.approx(1.0, abs=1e-6)
+    assert len(set(exact) & set(near)) >= 7
+
+
 def test_ending_a_session_cancels_its_indexing(spark, tmp_path):
     (tmp_path / "tree").mkdir()
     (tmp_path / "tree" / "a.py").write_text("def f():\n    return 1\n")
@@ -609,5 +636,10 @@ def test_ingest_chunks(spark, tmp_path):
     files.write.parquet(str(tmp_path / "files"))
     source = spark.readStream.schema(files.schema).parquet(str(tmp_path / "files"))
     ingest_chunks(source, str(tmp_path / "chunks"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "chunks")).first()["symbol_name"] == "f"
+    assert latest_chunks(spark, str(tmp_path / "chunks")).first()["symbol_name"] == "f"
+    # The file comes again, and another one: of the first, only the new chunks are left.
+    more = [(1, "a.py", "def g():\n    return 2\n"), (1, "b.py", "def h():\n    return 3\n")]
+    spark.createDataFrame(more, files.schema).write.mode("append").parquet(str(tmp_path / "files"))
+    ingest_chunks(source, str(tmp_path / "chunks"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["symbol_name"] for r in latest_chunks(spark, str(tmp_path / "chunks")).collect()) == ["g", "h"]
     assert chunk_files(files).first()["searchable_text"].startswith("a.py\nf\n")
