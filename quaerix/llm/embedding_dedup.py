@@ -393,3 +393,15 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, vec: str = "e
     alone = rows.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.unionByName(alone).withColumn("kept", kept)
+
+
+#: Of `embedding_duplicates` over vectors with unique ids: all pairs of a label, and a recursion over the links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.x, b.x) >= 0.93 * a.n * b.n),
+r AS (SELECT a AS vec_id, b AS to_id FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.to_id),
+c AS (SELECT vec_id, least(vec_id, min(to_id)) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(k.n_links, 0) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(c.component_id, v.vec_id) AS kept FROM v LEFT JOIN k USING (vec_id) LEFT JOIN c USING (vec_id)
+"""

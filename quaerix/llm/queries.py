@@ -73,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quote_links": quotes.ORACLE, "op7_warc_revisits": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_setsketch_dedup": near_dedup.ORACLE, "op4_itq_dedup": embedding_dedup.ORACLE, "op5_quote_links": quotes.ORACLE, "op7_warc_revisits": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE,
+}
