@@ -6,6 +6,7 @@ import datetime
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,9 @@ class Engine:
         self.embedder, self.answerer = embedder or HashingEmbedder(), answerer or answer.ExtractiveAnswerer()
         self.rules, self.minutes, self.hosts, self.reranker = rules, minutes, hosts, reranker
         self.lock = threading.RLock()
+        #: What indexing says, by repository, and what `submit` could not do: (session, source, why).
+        self._updates: dict[int, list[tuple[int, dict[str, str]]]] = {}
+        self.failed: list[tuple[str, str, str]] = []
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         if fresh:
             self.wipe()
@@ -150,19 +154,23 @@ class Engine:
             self._upsert(row)
         rid = row["id"]
         self._drop([rid])
+        self._tell(rid, step="reading", started_at=now.isoformat())
         tag = self._tag(rid)
         self.spark.sparkContext.addJobTag(tag)
         try:
             files = source_files(self.spark, root).withColumn("repository", F.lit(rid).cast("long"))
             chunk_files(files).write.mode("overwrite").partitionBy("repository").parquet(f"{self.path}/chunks")
             chunks = self._table("chunks", rid)
+            self._tell(rid, step="indexing words")
             self._go_on(rid, session)
             lexical.write_index(chunks.select("repository", "id", "searchable_text"), f"{self.path}/index")
+            self._tell(rid, step="embedding")
             self._go_on(rid, session)
             vectors = embed(chunks.select("repository", "id", "searchable_text"), self.embedder, "searchable_text").drop("searchable_text")
             vector.write_vectors(vectors, f"{self.path}/vectors", "overwrite")
             n = chunks.agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("f")).first()
             self._go_on(rid, session)
+            self._tell(rid, step="done", chunks=n["n"], files=n["f"])
             return self._upsert(row | {"status": "indexed", "chunk_count": n["n"], "file_count": n["f"], "indexed_at": self._now(), "updated_at": self._now()})
         except catalog.Cancelled:
             self._drop([rid])
@@ -172,11 +180,59 @@ class Engine:
             if self._row(rid, session) is None:
                 raise catalog.Cancelled("the session ended") from e
             said = self.spark.range(1).select(answer.friendly_error(F.lit(str(e)[:500]))).first()[0]
+            self._tell(rid, step="failed", error=said)
             self._upsert(row | {"status": "failed", "error_message": said, "updated_at": self._now()})
             raise
         finally:
             self.spark.sparkContext.removeJobTag(tag)
 
+    def _tell(self, repository: int, **values) -> None:
+        self._updates.setdefault(repository, []).append((len(self._updates.get(repository, [])), {k: str(v) for k, v in values.items()}))
+
+    def progress(self, repository: int, session: str) -> dict:
+        """What indexing of a repository has said so far; the last word on each key counts."""
+        if self._row(repository, session) is None:
+            raise catalog.NotFound("no such repository in this session")
+        said = [(repository, at, values) for at, values in self._updates.get(repository, [])]
+        r = catalog.progress(self.spark.createDataFrame(said, "repository long, at long, values map<string,string>")).first()
+        return dict(r["progress"]) if r else {}
+
+    def submit(self, root: str, session: str, url: str | None = None) -> threading.Thread:
+        """`index` in a thread of its own; `wait` for it, or ask for its row and `progress`. A failure is in the row."""
+        def run() -> None:
+            try:
+                self.index(root, session, url)
+            except Exception as e:  # noqa: BLE001  the catalog's row says what went wrong
+                self.failed.append((session, url or root, str(e)))
+
+        from pyspark import inheritable_thread_target
+
+        thread = threading.Thread(target=inheritable_thread_target(self.spark)(run), daemon=True)
+        thread.start()
+        return thread
+
+    def wait(self, repository: int, session: str, every: float = 3.0, timeout: float = 3600.0) -> dict | None:
+        """A repository's row once it is neither queued nor being indexed; None if there is none."""
+        until = time.monotonic() + timeout
+        while True:
+            row = self.get(repository, session)
+            if row is None or row["status"] not in ("queued", "indexing"):
+                return row
+            if time.monotonic() > until:
+                raise TimeoutError("the repository is still being indexed")
+            time.sleep(every)
+
+    def keep_alive(self, seconds: float = 43_200.0, least: float = 60.0) -> threading.Event:
+        """Ask for `health` every so many seconds, *least* at least, in a daemon thread; set the event to end it. For stores that fall asleep."""
+        stop, pause = threading.Event(), max(seconds, least)
+
+        def run() -> None:
+            while not stop.wait(pause):
+                self.health()
+
+        threading.Thread(target=run, daemon=True).start()
+        return stop
+
     def index_url(self, url: str, session: str, run=None) -> dict:
         """Clone a repository, index it, and remove the copy, also after a failure.
 

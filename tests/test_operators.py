@@ -583,6 +583,27 @@ def test_indexing_a_url(spark, tmp_path):
         e.index_url("https://elsewhere.example/o/r", "session-one", run=run)
 
 
+def test_submitting_and_waiting(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("def f():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.submit(str(tmp_path / "tree"), "session-one").join()
+    row = e.wait(1, "session-one")
+    assert row["status"] == "indexed" and e.failed == []
+    said = e.progress(1, "session-one")
+    assert (said["step"], said["files"]) == ("done", "1") and "started_at" in said
+    with pytest.raises(catalog.NotFound):
+        e.progress(1, "session-two")
+    e.submit(str(tmp_path / "absent"), "session-one").join()
+    assert len(e.failed) == 1
+    stop, calls = None, []
+    e.health = lambda: calls.append(1)
+    stop = e.keep_alive(0.0, least=0.05)
+    while not calls:
+        pass
+    stop.set()
+
+
 def test_approximate_search(spark):
     import numpy as np
 
