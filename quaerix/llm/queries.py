@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaerix.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, quality, quotes, secrets, warc
-from quaerix.llm.common import table
+from quaerix.llm.common import materialize, table
 from quaerix.session import ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,7 +35,8 @@ def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(quotes.quoted_replies(table(spark, sf_dir, "conversations")))
+    # The messages are made by two joins, and read several times.
+    return quotes.link_quotes(materialize(quotes.quoted_replies(table(spark, sf_dir, "conversations")), "messages"))
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

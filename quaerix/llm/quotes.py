@@ -95,20 +95,22 @@ def quote_links(messages: DataFrame) -> DataFrame:
 LARGE, MESSAGES = 1 << 17, 1024
 
 
-def _numbered(rows: DataFrame, large: int) -> DataFrame:
-    """Adds position: 1, 2, ... within conv_id by thread and turn; null without a conversation.
+def _numbered(rows: DataFrame, convs: DataFrame, large: int) -> DataFrame:
+    """Adds position: 1, 2, ... within conv_id by thread and turn; null without a conversation. *convs* has the conv_id of every row.
 
     Rows of a conversation with more than *large* messages are sorted into ranges; a range counts its own rows and adds those of the ranges before it.
     """
     order = [F.col(c).asc_nulls_first() for c in ("thread", "turn", "role", "clean_text")]
-    heat = materialize(rows.filter("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("_m")).filter(F.col("_m") > large).select("conv_id"), "heat")
+    heat = materialize(convs.filter("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("_m")).filter(F.col("_m") > large).select("conv_id"), "heat")
     # Fewer than one in *large* rows.
     names = F.broadcast(heat) if heat.count() <= MAX_BROADCAST else heat
-    few = rows.filter("conv_id is not null").join(names, "conv_id", "left_anti")
+    hot = not heat.isEmpty()
+    few = rows.filter("conv_id is not null")
+    few = few.join(names, "conv_id", "left_anti") if hot else few
     few = few.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long"))
     none = rows.filter("conv_id is null").withColumn("position", F.lit(None).cast("long"))
     out = few.unionByName(none)
-    if heat.isEmpty():
+    if not hot:
         return out
     many = rows.join(names, "conv_id", "left_semi")
     ranged = materialize(many.repartitionByRange("conv_id", *order).withColumn("_pid", F.spark_partition_id()), "ranged")
@@ -153,7 +155,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("quote_levels", F.lit(0)).cast("long").alias("quote_levels"), F.col("clean").alias("clean_text"),
     )
-    return _numbered(out, large).select("conv_id", "turn", "role", "reply_to", "thread", "position", "n_passages", "n_linked", "quote_levels", "clean_text")
+    return _numbered(out, rows.select(F.col("conv").alias("conv_id")), large).select("conv_id", "turn", "role", "reply_to", "thread", "position", "n_passages", "n_linked", "quote_levels", "clean_text")
 
 
 def conversations(linked: DataFrame, most: int = MESSAGES) -> DataFrame:
