@@ -199,8 +199,10 @@ def keep_identified(docs: DataFrame, model: Classifier, text: str = "text", lang
         names, scores = shipped.value.predict(texts)
         return pd.Series([n if n != UNKNOWN and s >= least else None for n, s in zip(names, scores, strict=True)], dtype=object)
 
-    rows = docs.select(F.struct("*").alias("_row"), name(F.col(text)).alias("_lang")).filter("_lang is not null")
-    if lang not in docs.columns:
-        return rows.select("_row.*")
-    filled = F.coalesce(F.col("_row")[lang], F.nullif(F.col("_lang"), F.lit("")))
-    return rows.select(*[filled.cast(docs.schema[lang].dataType).alias(lang) if c == lang else F.col("_row")[c].alias(c) for c in docs.columns])
+    found = "_lang"
+    while found in docs.columns:
+        found += "_"
+    rows = docs.withColumn(found, name(F.col(text))).filter(F.col(found).isNotNull())
+    if lang in docs.columns:
+        rows = rows.withColumn(lang, F.coalesce(lang, F.nullif(found, F.lit("")).cast(docs.schema[lang].dataType)))
+    return rows.drop(found)
