@@ -260,7 +260,7 @@ def core_blocks(rows: DataFrame, group: str, member: str, total: int, block: int
 
 
 #: Pivots of a large group, about, and rows of one part of it.
-PIVOTS, PART = 16, 2048
+PIVOTS, PART = 16, 512
 
 
 def pivoted(rows: DataFrame, group: str, size: str, member: str, pivots: int = PIVOTS, part: int = PART) -> DataFrame:
