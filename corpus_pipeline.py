@@ -41,7 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, VOCABULARY)
+    # Few remembered words: the stages share an executor's memory.
+    return packing.pack(docs, VOCABULARY, words=1 << 15)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
