@@ -202,7 +202,9 @@ def keep_identified(docs: DataFrame, model: Classifier, text: str = "text", lang
     found = "_lang"
     while found in docs.columns:
         found += "_"
-    rows = docs.withColumn(found, name(F.col(text))).filter(F.col(found).isNotNull())
+    # Not to be repeated: the filter stays above the one evaluation.
+    once = name.asNondeterministic()
+    rows = docs.withColumn(found, once(F.col(text))).filter(F.col(found).isNotNull())
     if lang in docs.columns:
         rows = rows.withColumn(lang, F.coalesce(lang, F.nullif(found, F.lit("")).cast(docs.schema[lang].dataType)))
     return rows.drop(found)
