@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaerix.llm.common import record
+from quaerix.llm.common import materialize, record
 from quaerix.llm.langid import held_out
 from quaerix.llm.shingles import BUFFER, buffers, mix, word_hashes
 
@@ -25,8 +25,9 @@ GRAMS = (2, 3, 4)
 DIMENSION = 8
 EPOCHS = 12
 RATE = 4.0
-#: Labelled texts of each class that are learned from, about.
-PER_CLASS = 3000
+#: Labelled texts of each class that are learned from, about, and bytes of all their features, about: beyond it, fewer texts are learned from.
+PER_CLASS = 2000
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.3
 
 
@@ -155,9 +156,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", id_col: str = "doc_id", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from about *per_class* labelled texts of each class, whole ones, taken by a hash of the id, none of them held out.
 
+    Their features are sent to the driver; where those of all would take more than *sample_bytes*, a smaller share of the texts is learned from.
+
     Rows weigh so that the classes count as they do among all labels. Labels
     that are null or neither 0 nor 1 are left out; of several labels of an id the largest counts.
     """
@@ -179,7 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str =
 
     # Of several rows of an id one is learned from, so that the sample keeps its bound.
     one = rows.mapInArrow(bags, learned).groupBy("i", "y").agg(F.min(F.struct("at", "w")).alias("b")).select("i", "y", "b.at", "b.w")
-    got = sorted((r["i"], r["y"], bytes(r["at"]), bytes(r["w"])) for r in one.collect())
+    one = materialize(one, "bags")
+    size = one.agg(F.sum(F.length("at") + F.length("w"))).first()[0] or 0
+    share = int(min(1.0, sample_bytes / max(size, 1)) * (1 << 24))
+    few = one.filter(F.pmod(F.xxhash64("i", F.lit(4)), F.lit(1 << 24)) < share) if size > sample_bytes else one
+    got = sorted((r["i"], r["y"], bytes(r["at"]), bytes(r["w"])) for r in few.collect())
     y = np.array([g[1] for g in got], dtype=int)
     n = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
     total = sum(counts.values())
