@@ -234,6 +234,8 @@ def test_quality_of_odd_rows(spark):
     assert sorted((r["doc_id"] for r in rows), key=repr) == sorted((i for i, _ in ODD), key=repr)
     same = {r["score"] for r in rows if r["doc_id"] in (1, 2, 15)}
     assert len(same) == 1
+    # With a bound on bytes that holds a part of the sample only, a model is learned still.
+    assert quality.fit(d, labels, sample_bytes=200_000).value.any()
     empty = quality.fit(d, labels.limit(0))
     assert {r["score"] for r in quality.score(d, empty).collect()} == {0.5}
     assert quality.score(d.limit(0), empty).count() == 0
@@ -558,6 +560,23 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(d.limit(0), VOCABULARY).count() == 0
 
 
+def test_words_give_the_ids_of_whole_texts():
+    """Every character of the first planes between letters, digits and blanks, and random mixtures of what is parted here."""
+    with open(VOCABULARY, encoding="utf-8") as f:
+        vocabulary = f.read()
+    # So few that generations of words follow each other.
+    own = packing.Encoder(vocabulary, *packing.described(vocabulary), words=50)
+    assert own.by_word
+    for at in range(1, 0x3000, 64):
+        text = "".join(f"a{chr(c)}1 {chr(c)}{chr(c)} b{chr(c)} " for c in range(at, at + 64))
+        assert np.frombuffer(own.ids(text), dtype="<u4").tolist() == ids_of(text)[:-1]
+    rng = np.random.default_rng(1)
+    bits = ["a", "don't", "I'LL", "'s", " ", "  ", "\t", "\n", "\r\n", "\x0b", "12", "é", "ſ", "ŒUVRE", "×", "—", "…", "€", "!?", "'", "_", "²", "\x1c", "\x85", "\xa0", "\u3000", "中", "\u200b", "<|endoftext|>"]
+    for k in range(3000):
+        text = "".join(rng.choice(bits[: 22 if k % 2 else None], rng.integers(0, 30)))
+        assert np.frombuffer(own.ids(text), dtype="<u4").tolist() == ids_of(text)[:-1], repr(text)
+
+
 def test_harmonic_cuts():
     for n in (1, 2, 341, 342, 511, 512, 513, 700, 1023, 1024, 1025, 5000):
         cut = packing.cut(n)
