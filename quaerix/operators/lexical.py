@@ -1,6 +1,6 @@
 """Okapi BM25 over stored postings, for many questions at once.
 
-An index holds postings, the terms' idf, document lengths and sizes of repositories; it is built once, by one reading of the texts, and
+An index holds postings, the terms' idf, document lengths and sizes of repositories; it is built once and
 written by repository. A question's terms meet postings by a join on (repository,
 term), and scores are one aggregation. Documents that match nothing score zero and are part of the result, so
 the first ``2k`` of a repository stand by to fill a list of fewer than k matches.
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaerix.functions.text import tokens
+from quaerix.functions.text import TOKEN, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Question terms, documents that stand by, and the like are broadcast up to so many rows.
@@ -47,7 +47,8 @@ def term_stats(posted: DataFrame) -> DataFrame:
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
-    return token_table(chunks).select("repository", "id", "dl")
+    """(repository, id, dl): tokens are counted, not made."""
+    return chunks.select("repository", "id", F.regexp_count(F.coalesce("searchable_text", F.lit("")), F.lit(TOKEN)).cast("long").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ TABLES = ("docs", "corpus", "postings", "terms")
 def write_index(chunks: DataFrame, path: str) -> Index:
     """Index *chunks* (repository, id, searchable_text) below *path*; repositories that it has already are replaced.
 
-    Texts are read once, for document lengths and postings; terms and sizes come from those tables.
+    Texts are read for postings and for document lengths; terms and sizes come from those tables.
     """
     spark = chunks.sparkSession
 
