@@ -13,7 +13,7 @@ from quaerix import oracle as O
 from quaerix.functions import queryx, text as T, vocab
 from quaerix.operators import answer, catalog, chunking, evaluation, fusion, lexical, vector
 from quaerix.plans import retrieval
-from quaerix.session import scratch, settled, ship
+from quaerix.session import made, scratch, settled, ship
 from quaerix.sources import files
 from quaerix.streaming.sessions import session_windows
 
@@ -63,7 +63,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> lexical.Index:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
         texts = table(spark, sf_dir, "documents").select(F.col("source").alias("repository"), F.col("doc_id").alias("id"), F.col("text").alias("searchable_text"))
-        _INDEXES[key] = lexical.write_index(texts, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
+        _INDEXES[key] = lexical.write_index(texts, made(spark, f"{scratch(spark)}/quaerix/index-{uuid.uuid4().hex}"))
     return _INDEXES[key]
 
 
