@@ -9,9 +9,6 @@ Rows travel to Python as Arrow batches, never as pandas frames with ids: a null
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,56 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaerix.session import settled
+
 #: What Python's re knows as blanks in the contracts: space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the driver and all executors: ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder is made and set if the master is this machine; a
-    cluster without a shared folder is an error, since executors would not see each other's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = jdir.get() if jdir.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quaerix_")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended first; the folder is scratch space
-        return
-
-
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def clear_scratch() -> None:
-    """Remove the tables that `materialize` wrote, once no result is read any more; at exit this happens by itself."""
-    while _SCRATCH:
-        _remove(*_SCRATCH.pop())
-
-
-atexit.register(clear_scratch)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write *df* to the shared folder and read it back: a table that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quaerix/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, name)
 
 
 #: A key that holds more than one row in HOT_SHARE is joined by broadcast; there are fewer than HOT_SHARE such keys.

@@ -43,7 +43,7 @@ MISS = 1e-6
 DROP = 30.0
 #: Classes compared in one block of a bucket, and documents verified in one block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 256, 96
-#: Up to so many ids of clustered documents are broadcast (24 bytes each) to read their texts; more are joined by a shuffle.
+#: Up to so many clustered classes are broadcast (about 100 bytes each) to read their texts; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 19
 
 

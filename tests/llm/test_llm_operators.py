@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quaerix import session
 from quaerix.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, quality, quotes, secrets, warc
 from quaerix.llm import common, shingles
 from quaerix.llm.common import connected_components, drop_rows, materialize, sha_text
@@ -108,7 +109,7 @@ def test_a_cluster_needs_a_shared_folder():
                             return False
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
-        common.shared_dir(Cluster())
+        session.scratch(Cluster())
 
 
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
