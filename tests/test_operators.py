@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import random
 import subprocess
 
 import pytest
@@ -74,6 +75,43 @@ def test_stored_index(spark, tmp_path):
     assert [r["id"] for r in got if r["repository"] == 2] == ["c"]
 
 
+def shuffled(spark, work) -> int:
+    """Bytes that *work* shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    old = total()
+    work()
+    return total() - old
+
+
+def test_index_shuffles_no_postings(spark, tmp_path):
+    """Texts may be dealt out once; their postings, which are several times larger, stay where they are counted."""
+    rng = random.Random(3)
+    terms = [f"{rng.getrandbits(40):010x}x".replace("0", "a") for _ in range(3000)]
+    rows = [(k % 2, k, " ".join(f"t{t}" for t in rng.sample(terms, 1000))) for k in range(300)]
+    chunks = spark.createDataFrame(rows, "repository long, id long, searchable_text string").repartition(4).cache()
+    chunks.count()
+    size = sum(len(r[2]) for r in rows)
+    assert shuffled(spark, lambda: lexical.write_index(chunks, str(tmp_path / "index"))) < size
+    chunks.unpersist()
+
+
+def test_index_of_repeated_ids(spark, tmp_path):
+    """Rows of one id and length are one document with several texts; each counts in its repository's size. A null id or repository is its own."""
+    rows = [(1, "a", "b b a"), (1, "a", "c b d"), (1, "a", "x"), (1, "b", ""), (1, "b", ""), (1, "c", None), (1, None, "x y"), (None, None, "z")]
+    chunks = spark.createDataFrame(rows, "repository long, id string, searchable_text string")
+    for index in (lexical.build_index(chunks), lexical.write_index(chunks, str(tmp_path / "index"))):
+        got = sorted(tuple(r) for r in lexical.postings(index.words).filter("repository = 1").select("term", F.coalesce("id", F.lit("-")), "dl", "tf").collect())
+        assert got == [("a", "a", 3, 1), ("b", "a", 3, 3), ("c", "a", 3, 1), ("d", "a", 3, 1), ("x", "-", 2, 1), ("x", "a", 1, 1), ("y", "-", 2, 1)]
+        assert index.corpus.filter("repository = 1").select("n", "avgdl").first()[:] == (7, 9 / 7)
+        assert {(r["term"], r["df"]) for r in index.terms.filter("repository = 1").collect()} == {("a", 1), ("b", 1), ("c", 1), ("d", 1), ("x", 2), ("y", 1)}
+        assert index.words.count() == len(rows)
+
+
 def test_tokens(spark):
     assert one(spark, text.tokens(F.lit("a/b.py:c 42 Été foo_Bar"))) == ["a/b.py:c", "t", "foo_bar"]
     assert one(spark, text.code_terms(F.lit("getUserName a.beta/c-delta the 12"))) == ["a.beta/c-delta", "beta", "delta", "get", "getusername", "name", "user"]
