@@ -3,12 +3,14 @@
 import datetime
 import hashlib
 import math
+import os
 import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from quaerix import queries
 from quaerix.functions import queryx, text, vocab
 from quaerix.operators import answer, catalog, evaluation, fusion, lexical, vector
 from quaerix.operators.chunking import chunk_files, fallback_blocks, overlap_slices, symbol_blocks
@@ -24,6 +26,8 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
+SF = "/root/testdata/sf0.01"
+
 # --- lexical -------------------------------------------------------------------------------------------------------
 
 CORPUS = {"a": "apple banana apple", "b": "apple cherry", "c": "date 42 été"}
@@ -112,6 +116,16 @@ def test_index_of_repeated_ids(spark, tmp_path):
         assert index.words.count() == len(rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["bm25_idf_table"])
+def test_queries_that_build_an_index(spark, name):
+    """A query that has to build the index shuffles its texts and vocabulary (here mostly words of one text), not postings: these were five times the texts."""
+    queries._INDEXES.clear()
+    size = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    got = shuffled(spark, lambda: queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save())
+    assert got < 3.5 * size
+
+
 def test_tokens(spark):
     assert one(spark, text.tokens(F.lit("a/b.py:c 42 Été foo_Bar"))) == ["a/b.py:c", "t", "foo_bar"]
     assert one(spark, text.code_terms(F.lit("getUserName a.beta/c-delta the 12"))) == ["a.beta/c-delta", "beta", "delta", "get", "getusername", "name", "user"]
