@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quaerix.functions import vocab
 from quaerix.functions.queryx import intent, is_documentation, is_overview
 from quaerix.functions.text import has_any
+from quaerix.operators.lexical import small
 
 RRF_K, PATH_K = 60, 20
 
@@ -124,6 +125,11 @@ def path_intent_search(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame
     return scored.select("qid", "id", "path_score").withColumn("path_rank", F.row_number().over(order).cast("long")).filter(F.col("path_rank") <= k)
 
 
+def with_texts(found: DataFrame, chunks: DataFrame, on) -> DataFrame:
+    """*found*, a settled table of ids and scores, with its chunks' fields: it goes to the texts by broadcast up to the counted bound, so that texts are not shuffled."""
+    return small(found).join(chunks, on)
+
+
 def lexical_rerank_score(query: Column, body: Column) -> Column:
     """The default reranker: the share of the query's distinct code terms that the text has, from 0 to 1. It stands
     in for a cross-encoder, which has another scale; `model_reranker` puts one in its place."""

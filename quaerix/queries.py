@@ -67,6 +67,11 @@ def indexed(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return _INDEXES[key]
 
 
+def _found(spark: SparkSession, sf_dir: str, q: DataFrame, k: int) -> DataFrame:
+    """The k best of each question by BM25, settled before texts join: qid, id, bm25_score, bm25_rank."""
+    return settled(lexical.search(indexed(spark, sf_dir), q.withColumnRenamed("question", "query"), k).drop("repository"), "found")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as questions: a template by id and the passage's first six words, asked of one repository."""
     six = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
@@ -265,8 +270,7 @@ _RERANKED = f"WITH {O.QUESTIONS}, {O.BM25_BASE.strip()}, {O.bm25(20).strip()}, {
 @query(f"{_RERANKED} SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, id) AS rerank_rank FROM rr")
 def lexical_rerank(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), 20).select("qid", "id")
-    rows = lex.join(lexical.small(q.select("qid", "question")), "qid").join(c.select("id", "content"), "id").withColumn("rerank_score", fusion.lexical_rerank_score(F.col("question"), F.col("content")))
+    rows = fusion.with_texts(_found(spark, d, q, 20).select("qid", "id"), c.select("id", "content"), "id").join(lexical.small(q.select("qid", "question")), "qid").withColumn("rerank_score", fusion.lexical_rerank_score(F.col("question"), F.col("content")))
     order = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), "id")
     return rows.select("qid", "id", "rerank_score", F.row_number().over(order).cast("long").alias("rerank_rank"))
 
@@ -308,9 +312,9 @@ _CAND = f"WITH {O.QUESTIONS}, qq AS (SELECT *, question AS query, {O.intent('que
 def _prioritised(spark, d) -> DataFrame:
     c, q = chunks(spark, d), questions(spark, d)
     f = settled(queryx.features(q.withColumn("query", F.col("question")).withColumn("_c", F.lower(F.concat_ws(" ", "question", "query"))), "_c", RULES).drop("_c", "repository"), "questions")
-    lex = lexical.search(indexed(spark, d), q.withColumnRenamed("question", "query"), 20).drop("repository").withColumnRenamed("bm25_rank", "merged_rank")
+    lex = _found(spark, d, q, 20).withColumnRenamed("bm25_rank", "merged_rank")
     none = F.lit(None).cast("double")
-    rows = lex.join(lexical.small(f), "qid").join(c.drop("repository", "searchable_text"), "id").withColumns({"path_score": none, "semantic_score": none, "rerank_score": none})
+    rows = fusion.with_texts(lex, c.drop("repository", "searchable_text"), "id").join(lexical.small(f), "qid").withColumns({"path_score": none, "semantic_score": none, "rerank_score": none})
     return fusion.prioritise(rows, 12)
 
 
@@ -478,8 +482,8 @@ _SRC = f"WITH {O.QUESTIONS}, {O.BM25_BASE.strip()}, {O.bm25(4).strip()}, {O.CHUN
 
 def _sources(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    lex = lexical.search(indexed(spark, d), questions(spark, d).withColumnRenamed("question", "query"), 4).drop("repository").withColumnRenamed("bm25_rank", "source_no")
-    return lex.join(c.drop("repository"), "id").withColumns({"semantic_score": F.col("bm25_score") / 40, "rrf_score": F.lit(None).cast("double"), "rerank_score": F.lit(None).cast("double")})
+    lex = _found(spark, d, questions(spark, d), 4).withColumnRenamed("bm25_rank", "source_no")
+    return fusion.with_texts(lex, c.drop("repository"), "id").withColumns({"semantic_score": F.col("bm25_score") / 40, "rrf_score": F.lit(None).cast("double"), "rerank_score": F.lit(None).cast("double")})
 
 
 @query(f"{_SRC} SELECT qid, md5(string_agg('[Source ' || source_no || ']' || chr(10) || 'File: ' || file_path || chr(10) || 'Symbol: ' || symbol_name || chr(10) || 'Lines: ' || line_start || '-' || line_end || chr(10) || substring(content, 1, 1500), chr(10) || chr(10) ORDER BY source_no)) AS digest FROM s GROUP BY qid")
