@@ -60,7 +60,8 @@ def retrieve(chunks: DataFrame, vectors: DataFrame | None, questions: DataFrame,
     # At most *most* rows of ids and scores for each question.
     merged = settled(fusion.merge_path(fused, paths, most), "merged")
     asked = q.select("qid", "repository", "question", "query", "depth", F.col("g").alias("f"))
-    rows = merged.join(lexical.small(asked), "qid").filter(F.col("merged_rank") <= F.col("depth")).join(chunks.select("repository", "id", *FIELDS), ["repository", "id"])
+    merged = merged.join(lexical.small(asked.select("qid", "repository", "depth")), "qid").filter(F.col("merged_rank") <= F.col("depth"))
+    rows = fusion.with_texts(merged, chunks.select("repository", "id", *FIELDS), ["repository", "id"]).join(lexical.small(asked.drop("repository", "depth")), "qid")
     deep: Column = F.when(intent(F.col("question")).isin(*vocab.DEEP), F.col("query")).otherwise(F.col("question"))
     body = F.concat_ws("\n", "file_path", "signature", "content")
     scored = rows.withColumn("rerank_score", (reranker or fusion.lexical_rerank_score)(deep, body))

@@ -116,6 +116,18 @@ def test_index_of_repeated_ids(spark, tmp_path):
         assert index.words.count() == len(rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_texts_are_not_shuffled(spark):
+    """What was found goes to the texts, not the texts to what was found."""
+    queries.indexed(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        size = shuffled(spark, lambda: queries.QUERIES["hybrid_retrieve_flagship"](spark, SF).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert size < 2 << 20
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", ["bm25_idf_table", "prioritize"])
 def test_queries_that_build_an_index(spark, name):
