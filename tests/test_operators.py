@@ -7,12 +7,13 @@ import os
 import random
 import subprocess
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quaerix import queries
 from quaerix.functions import queryx, text, vocab
-from quaerix.operators import answer, catalog, evaluation, fusion, lexical, vector
+from quaerix.operators import answer, catalog, chunking, evaluation, fusion, lexical, vector
 from quaerix.operators.chunking import chunk_files, fallback_blocks, overlap_slices, symbol_blocks
 from quaerix.operators.embed import HashingEmbedder, RemoteEmbedder, embedder_from, in_batches
 from quaerix.plans.engine import Engine
@@ -282,6 +283,21 @@ def test_symbols_of_languages_with_braces():
     assert kinds("let x = 1\n", "f.js", "javascript")[0][1] == "fallback_chunk"
 
 
+def test_chunks_are_cut_in_small_parts():
+    """A large batch of files comes back in parts: chunks of 2 MB of them are held at a time."""
+    n = 300
+    body = "def f():\n" + "    x = 1\n" * 5000
+    names = ["repository", "file_path", "language", "content"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"a/{i}.py" for i in range(n)]), pa.array(["python"] * n), pa.array([None, *[body] * (n - 2), "y = 1"])], names=names)
+    out = list(chunking._cut(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 * chunking.HELD < batch.nbytes
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["repository"] for r in rows] == list(range(1, n))
+    assert {(r["symbol_name"], r["line_end"], r["chunk_ordinal"]) for r in rows[:-1]} == {("f", 5001, 0)}
+    assert (rows[-1]["symbol_type"], rows[-1]["file_path"]) == ("fallback_chunk", f"a/{n - 1}.py")
+    assert list(chunking.parts([5, 1, 9, 0, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and list(chunking.parts([], 6)) == []
+
+
 def test_overlap_slices():
     assert [len(x) for x in overlap_slices("a" * 1100)] == [1100, 50]
     assert [len(x) for x in overlap_slices("a" * 1201)] == [1200, 151]
