@@ -130,7 +130,7 @@ def test_texts_are_not_shuffled(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["bm25_idf_table", "prioritize", "rrf_fusion"])
+@pytest.mark.parametrize("name", ["bm25_idf_table", "prioritize", "rrf_fusion", "bm25_batch"])
 def test_queries_that_build_an_index(spark, name):
     """A query that has to build the index shuffles its texts and vocabulary (here mostly words of one text), not postings: these were five times the texts."""
     queries._INDEXES.clear()
